@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import line_dedup, quality_rules
+from framewright.llm import decontaminate, line_dedup, quality_rules, sharding, token_counts
 from framewright.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     return line_dedup.deduped(docs).select("doc_id", "text", "n_lines", "n_dropped")
@@ -38,9 +45,27 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = token_counts.counted(docs, tokenizer_path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op5_token_counts": op5_token_counts,
     "op8_quality_rules": op8_quality_rules,
+    "op9_sharding": op9_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
