@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import decontaminate, line_dedup, quality_rules, sharding, token_counts
+from framewright.llm import decontaminate, line_dedup, packing, quality_rules, sharding, simhash, token_counts
 from framewright.llm.common import table
 
 
@@ -37,6 +37,11 @@ FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = quality_rules.judged(docs, table(spark, sf_dir, "labels"))
@@ -45,6 +50,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = token_counts.counted(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -62,7 +72,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_packing": op3_packing,
     "op5_token_counts": op5_token_counts,
+    "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
