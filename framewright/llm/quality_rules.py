@@ -96,10 +96,11 @@ def ngram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
     return F.concat(single, double)
 
 
-def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_target_rows: int = MAX_TARGET_ROWS) -> DataFrame:
-    """One row, ``weights``: for each bucket log p_target - log p_raw, both smoothed by the raw distribution.
+def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_target_rows: int = MAX_TARGET_ROWS) -> Column:
+    """A constant array: for each bucket log p_target - log p_raw, both smoothed by the raw distribution.
 
-    The counts cover every document.  At most ``buckets`` rows reach the final aggregate.
+    The counts cover every document.  The driver gets ``buckets`` numbers, whatever the corpus' size; as a constant
+    they reach the tasks once, not once a row.
     """
     target = (
         labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
@@ -122,24 +123,19 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, ma
     p_raw = (F.coalesce("raw", F.lit(0)) + 1.0) / (raw_n + buckets)
     # The target counts are few; its prior is worth ``buckets`` n-grams drawn from the raw distribution.
     p_target = (F.coalesce("target", F.lit(0)) + float(buckets) * p_raw) / (target_n + float(buckets))
-    return (
-        every.join(counts, "b", "left")
-        .select("b", F.log(p_target / p_raw).alias("w"))
-        .agg(F.array_sort(F.collect_list(F.struct("b", "w"))).alias("all"))
-        .select(F.transform("all", lambda x: x["w"].cast("float")).alias("weights"))
-    )
+    weights = every.join(counts, "b", "left").select("b", F.round(F.log(p_target / p_raw), 6).alias("w")).orderBy("b").collect()
+    return F.from_json(F.lit("[" + ",".join(str(r["w"]) for r in weights) + "]"), "array<double>")
 
 
 def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the counted features, ``score`` and ``kept``."""
-    weights = ratio_weights(docs, labels, buckets).scalar()
+    weights = ratio_weights(docs, labels, buckets)
     grams = ngram_buckets(F.col("_words"), buckets)
-    total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get("_weights", b).cast("double"))
+    total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(weights, b))
     score = F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(F.lit(0.0))
     return (
         with_features(docs)
-        .withColumn("_weights", weights)
         .withColumn("score", score)
         .withColumn("kept", ~F.col("base_failed") & (F.round("score", 9) >= F.lit(threshold)))
-        .drop("_words", "_weights")
+        .drop("_words")
     )
