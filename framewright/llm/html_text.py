@@ -184,6 +184,8 @@ LABELLED = (
     '<p data-y="0">Send to a friend</p><p data-y="1">A clockmaker from the next valley has offered to mend it for nothing, if he may put his name on the back of the dial.</p></body>',
     '<body><article data-y="1"><p>Tea.</p></article></body>',
     '<body><p data-y="0">Back to top</p><div data-y="1">A short walk leads from the station over the brook to the ruin, which is open all year and costs nothing to see.</div></body>',
+    '<body><ul data-y="0"><li><a href="/1">Ten walks to take before the first snow falls in the hills</a></li><li><a href="/2">What the new timetable means for those who live by the lake</a></li></ul><p data-y="1">The ferry stops at nine in winter and the last bus meets it, unless fog holds up the one or the other (see the <a href="/t">timetable</a>).</p>'
+    '<p data-y="0"><a href="/3">Read also: how the lake got its name and lost it again</a></p></body>',
     '<body><p data-y="1">He who sows late must not complain of the frost, say the farmers here, and they sow early.</p><p data-y="0">Top of page</p></body>',
 )
 DEPTH = 6
