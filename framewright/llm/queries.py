@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import decontaminate, html_text, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_counts
+from framewright.llm import class_lm, decontaminate, html_text, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_counts
 from framewright.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.scored(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = token_counts.counted(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html_text": op2_html_text,
     "op3_packing": op3_packing,
+    "op4_class_lm": op4_class_lm,
     "op5_token_counts": op5_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
