@@ -27,8 +27,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+#: A line with a word.
+WORD = r"[^\x20\x09-\x0D]"
 #: A window's hash and place.
 PLACED = "struct<h:bigint,i:int>"
+#: Repeated windows of a text that are looked up one by one.
+FEW = 32
 
 
 def with_repeated_words(df: DataFrame) -> DataFrame:
@@ -36,13 +40,21 @@ def with_repeated_words(df: DataFrame) -> DataFrame:
 
     Sorting the windows by hash puts equal ones side by side, so the work is n log n in a text's length.
     """
-    none = F.array(F.lit(None).cast(PLACED))
+    h = F.col("_windows")
+    # Hashes found twice or more: side by side once sorted.
+    ordered = F.col("_ordered")
+    twice = F.array_distinct(F.array_compact(F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), lambda a, b: F.when(a == b, a))))
+    few = F.array_compact(F.transform(h, lambda x, i: F.when(F.array_contains("_twice", x), i)))
+    # With many of them, the windows are sorted with their places instead of looked up one by one.
     s = F.col("_placed")
-    twice = F.zip_with(
+    none = F.array(F.lit(None).cast(PLACED))
+    beside = F.zip_with(
         F.zip_with(s, F.concat(none, s), lambda x, a: F.when(x["h"] == a["h"], True).otherwise(False)),
         F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda x, b: F.struct((x["h"] == b["h"]).alias("next"), x["i"].alias("i"))),
         lambda before, x: F.when(before | x["next"], x["i"]),
     )
+    many = F.array_sort(F.filter(beside, lambda i: i.isNotNull()))
+    placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     # A window adds the words that the window before it did not cover.
     added = F.aggregate(
         F.col("_at"),
@@ -50,19 +62,20 @@ def with_repeated_words(df: DataFrame) -> DataFrame:
         lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
-    placed = F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     return (
-        df.withColumn("_placed", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), placed))
-        .withColumn("_at", F.array_sort(F.filter(twice, lambda i: i.isNotNull())))
-        .withColumn("n_repeat_words", F.when(F.col("_placed").isNull(), F.lit(0).cast("bigint")).otherwise(added))
-        .drop("_placed", "_at")
+        df.withColumn("_ordered", F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(h)))
+        .withColumn("_twice", twice)
+        .withColumn("_placed", F.when(F.size("_twice") > FEW, placed))
+        .withColumn("_at", F.when(F.col("_placed").isNotNull(), many).when(F.col("_twice").isNotNull(), few))
+        .withColumn("n_repeat_words", F.when(F.col("_at").isNull(), F.lit(0).cast("bigint")).otherwise(added))
+        .drop("_ordered", "_twice", "_placed", "_at")
     )
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds _words (array) and the counted features."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda s: F.length(F.regexp_replace(s, SPACE, "")) > 0)
+    lines = F.filter(F.split(body, "\n"), lambda s: s.rlike(WORD))
     w = F.col("_words")
     windows = F.when(
         F.size(w) >= 3,
@@ -84,16 +97,13 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def ngram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
-    """Hashed unigrams, then hashed bigrams (one fewer), as bucket numbers."""
-    n = F.size(words)
-    single = F.transform(words, lambda a: F.pmod(F.xxhash64(a), F.lit(buckets)).cast("int"))
-    double = F.zip_with(
-        F.slice(words, 1, F.greatest(n - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"),
-    )
-    return F.concat(single, double)
+def following(words: Column) -> Column:
+    """The word after each, null after the last."""
+    return F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+
+
+def bucket(buckets: int, *words: Column) -> Column:
+    return F.pmod(F.xxhash64(*words), F.lit(buckets)).cast("int")
 
 
 def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_target_rows: int = MAX_TARGET_ROWS) -> Column:
@@ -112,7 +122,10 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, ma
     grams = (
         docs.select("doc_id", "text")
         .join(F.broadcast(target), F.col("doc_id") == F.col("_target"), "left")
-        .select(F.col("_target").isNotNull().alias("t"), F.explode(ngram_buckets(words_of(F.col("text")), buckets)).alias("b"))
+        .select(F.col("_target").isNotNull().alias("t"), words_of(F.col("text")).alias("w"))
+        .select("t", F.explode(F.arrays_zip(F.col("w").alias("a"), following(F.col("w")).alias("b"))).alias("p"))
+        .select("t", F.explode(F.array(bucket(buckets, F.col("p.a")), F.when(F.col("p.b").isNotNull(), bucket(buckets, F.col("p.a"), F.col("p.b"))))).alias("b"))
+        .where("b IS NOT NULL")
     )
     # Written once: the totals and the weights below read these ``buckets`` rows, not the corpus again.
     counts = stored(grams.groupBy("b").agg(F.count("*").alias("raw"), F.count_if("t").alias("target")), "ngram-counts")
@@ -130,8 +143,12 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, ma
 def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the counted features, ``score`` and ``kept``."""
     weights = ratio_weights(docs, labels, buckets)
-    grams = ngram_buckets(F.col("_words"), buckets)
-    total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(weights, b))
+    own = F.zip_with(
+        "_words",
+        following(F.col("_words")),
+        lambda a, b: F.get(weights, bucket(buckets, a)) + F.when(b.isNull(), 0.0).otherwise(F.get(weights, bucket(buckets, a, b))),
+    )
+    total = F.aggregate(own, F.lit(0.0), lambda acc, w: acc + w)
     score = F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(F.lit(0.0))
     return (
         with_features(docs)
