@@ -17,6 +17,7 @@ of equal length are interchangeable, and their order is by doc_id and piece.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import partitions, stored, text_of
+from framewright.llm.common import partitions, stored, text_of, utf8
 
 CAPACITY = 2048
-END = 0
+#: The closing id, 0, as it stands in a sequence.
+END_ID = bytes(4)
 ROUNDS = 200
 #: Most of a length's count that one step serves, and the rate at which served lengths lose weight.
 STEP = 0.25
@@ -38,15 +40,40 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 BATCH_CHARS = 1_000_000
 
 
+#: Encoded words that a Python worker keeps, over its tasks, and the longest that it keeps.
+CACHE_WORDS, CACHE_BYTES = 500_000, 48
+_kept: dict[str, dict[bytes, bytes]] = {}
+
+
 def token_ids(path: str):
-    """A function from texts to lists of ids."""
+    """A function from texts to their ids (uint32, little-endian bytes).
+
+    The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those of its words in a
+    row, and a word is encoded when a worker first meets it.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+    known = _kept.setdefault(path, {})
+
+    def encode(texts: list[str]) -> Iterator[bytes]:
+        split = [utf8(x).split() for x in texts]
+        new = list({w for ws in split for w in ws if w not in known})
+        once: dict[bytes, bytes] = {}
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            for w, e in zip(part, t.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
+                (known if len(w) <= CACHE_BYTES else once)[w] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
+        look = (lambda w: once[w] if w in once else known[w]) if once else known.__getitem__
+        for ws in split:
+            yield b"".join(map(look, ws))
+        if len(known) > CACHE_WORDS:
+            known.clear()
+
+    return encode
 
 
 def _in_parts(texts: list[str]) -> Iterator[list[str]]:
@@ -70,7 +97,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
                 rows: list[list] = [[], [], [], [], [], []]
                 for ids in encode(part):
                     doc = next(docs)
-                    a = np.array([*ids, END], np.dtype("<u4"))
+                    a = np.frombuffer(ids + END_ID, "<u4")
                     for k, start in enumerate(range(0, len(a), capacity)):
                         own = a[start : start + capacity]
                         for column, v in zip(rows, (doc, k, start, len(own), zlib.crc32(own.tobytes()), own.tobytes() if with_ids else None), strict=True):
