@@ -9,7 +9,7 @@ document) goes.  Texts are UTF-8 bytes; matches stay within a document.
 2. Segments are combined in the scan task and then by anchor: of equal segments the first stays, the others are repeats
    of it as they stand.  Anchors that only one segment is left with hold no repeat.
 3. The segments left (same anchor, other surroundings) go to buckets by anchor.  A bucket's bytes get a suffix array and
-   a table of common prefixes; a stack scan of that table gives the tree of common-prefix intervals, and every interval
+   a table of common prefixes (of the suffixes whose first LENGTH bytes another may share); a stack scan of that table gives the tree of common-prefix intervals, and every interval
    of LENGTH bytes or more whose occurrences differ in the byte before them is a maximal repeat, with all its occurrences.
    All of them but the first are removed.
 4. An anchor with more than ``GROUP`` different segments (a passage that very many documents frame differently) would
@@ -37,13 +37,13 @@ from framewright.llm.common import key_of, partitions, stored, text_of, utf8
 LENGTH = 100
 GRAM = 24
 #: Different segments of an anchor that go to one bucket.
-GROUP = 4096
+GROUP = 2048
 #: Bytes of a bucket.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 19
 #: A longer document is scanned in parts of so many bytes, which share LENGTH - 1 bytes.
 PART = 1 << 22
 #: Segments that a scan task combines at a time.
-COMBINE = 400_000
+COMBINE = 200_000
 
 _rng = np.random.Generator(np.random.PCG64(20_250_102))
 #: Two independent polynomial hashes modulo 2**64 over random values of the bytes.
@@ -149,48 +149,35 @@ def _scan(length: int, gram: int):
 # ---- the enhanced suffix array of a bucket
 
 
-def suffix_array(text: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Order of all suffixes by their first ``most`` bytes or more, and (n, rank by the first n bytes) for each doubling."""
-    n = len(text)
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for j in range(4):
-        key = key << np.uint64(9) | (padded[j : n + j] + np.uint64(1)) * (np.arange(n) + j < n)
-    ranks, width = [], 4
-    while True:
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], sorted_key[1:] != sorted_key[:-1])))
-        ranks.append((width, rank))
-        if width >= most or rank[order[-1]] == n:
-            return order, ranks
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:]
-        key = rank * np.int64(n + 1) + after
-        width *= 2
-
-
-def common_prefixes(text: np.ndarray, order: np.ndarray, ranks: list[tuple[int, np.ndarray]], room: np.ndarray) -> np.ndarray:
-    """Bytes that each suffix in order shares with the one before it, no more than the room of either."""
-    n = len(text)
-    i, j = order[1:].copy(), order[:-1].copy()
-    shared = np.zeros(n - 1, np.int64)
-    for width, rank in reversed(ranks):
-        for _ in range(2):
-            ok = (i + shared < n) & (j + shared < n)
-            same = ok.copy()
-            same[ok] = rank[(i + shared)[ok]] == rank[(j + shared)[ok]]
-            # Equal rank means equal in `width` bytes only where both suffixes have as many.
-            same &= (i + shared + width <= n) & (j + shared + width <= n)
-            if not same.any():
-                break
-            shared[same] += width
-    for _ in range(4):
-        ok = (i + shared < n) & (j + shared < n)
-        ok[ok] = text[(i + shared)[ok]] == text[(j + shared)[ok]]
-        shared[ok] += 1
-    return np.concatenate(([0], np.minimum(shared, np.minimum(room[i], room[j]))))
+def sparse_suffixes(text: bytes, ends: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """Places where a repeat of ``least`` bytes can start: their first ``least`` bytes have a hash that another has."""
+    sizes = np.maximum(ends - starts - least + 1, 0)
+    first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    at = np.repeat(starts - first, sizes) + np.arange(int(sizes.sum()))
+    h = stretch(prefix_hash(np.frombuffer(text, np.uint8), 0), 0, at, at + least)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(at), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return at[twice]
+
+
+def suffix_array(text: bytes, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that start at the places, each up to its part's end: their order, and the bytes shared with the one before."""
+    suffixes = [text[a:b] for a, b in zip(at.tolist(), end.tolist(), strict=True)]
+    order = np.array(sorted(range(len(at)), key=suffixes.__getitem__), np.int64)
+    size = (end - at)[order]
+    width = int(size.max()) if len(size) else 0
+    data = np.frombuffer(text + bytes(width), np.uint8)
+    lcp = np.zeros(len(order), np.int64)
+    for i in range(1, len(order), 65_536):  # so many rows at a time, to bound the comparison's memory
+        k = np.arange(i, min(i + 65_536, len(order)))
+        most = np.minimum(size[k], size[k - 1])
+        differ = data[at[order[k]][:, None] + np.arange(width)] != data[at[order[k - 1]][:, None] + np.arange(width)]
+        shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        lcp[k] = np.minimum(shared, most)
+    return order, lcp
 
 
 def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -219,19 +206,19 @@ def maximal_repeats(parts: list[bytes], least: int) -> Iterator[tuple[int, np.nd
 
     places are offsets into the parts joined with a byte that UTF-8 does not have between them.
     """
-    text = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    room = np.repeat(ends, [len(p) + 1 for p in parts]) - np.arange(len(text))
-    longest = max(len(p) for p in parts)
-    order, ranks = suffix_array(text, longest)
-    lcp = common_prefixes(text, order, ranks, room)
-    before = np.concatenate(([0xFF], text[:-1]))[order]
+    text = b"\xff".join(parts) + b"\xff"
+    sizes = np.array([len(p) for p in parts], np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    at = sparse_suffixes(text, ends, ends - sizes, least)
+    order, lcp = suffix_array(text, at, ends[np.searchsorted(ends, at)])
+    at = at[order]
+    before = np.frombuffer(b"\xff" + text, np.uint8)[at]
     edge = before == 0xFF  # the start of a part can't be extended, so it differs from all
     # For left diversity of an interval in one look-up: where the byte before differs from its neighbour's in order.
     change = np.concatenate(([0], np.cumsum((before[1:] != before[:-1]) | edge[1:] | edge[:-1])))
     for n, first, last in intervals(lcp, least):
         if change[last] > change[first]:
-            yield n, order[first : last + 1]
+            yield n, at[first : last + 1]
 
 
 SPANS = "doc bigint, lo int, hi int"
@@ -331,18 +318,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     return whole.unionByName(trees).unionByName(late)
 
 
-def union_of(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+def union_of(lo: np.ndarray, hi: np.ndarray, n: int) -> list[tuple[int, int]]:
     """The spans, clipped to n bytes, as maximal runs (runs that touch are one)."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        b = min(b, n)
-        if a >= b:
-            continue
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
-    return out
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.minimum(hi[order], n)
+    lo, hi = lo[lo < hi], hi[lo < hi]
+    if not len(lo):
+        return []
+    reach = np.maximum.accumulate(hi)
+    new = np.concatenate(([True], lo[1:] > reach[:-1]))
+    return list(zip(lo[new].tolist(), reach[np.concatenate((new[1:], [True]))].tolist(), strict=True))
 
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
@@ -354,7 +339,7 @@ def _removed(with_bytes: bool):
             rows: list[list] = [[], [], [], [], [], []]
             for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
                 raw = utf8(text.as_py())
-                runs = union_of([(s["lo"], s["hi"]) for s in spans.as_py() or ()], len(raw))
+                runs = union_of(*(spans.values.field(c).to_numpy() for c in ("lo", "hi")), len(raw)) if spans.is_valid else []
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(raw[at:a])
