@@ -41,7 +41,7 @@ BATCH_CHARS = 1_000_000
 
 
 #: Encoded words that a Python worker keeps, over its tasks, and the longest that it keeps.
-CACHE_WORDS, CACHE_BYTES = 500_000, 48
+CACHE_WORDS, CACHE_BYTES = 1_500_000, 48
 _kept: dict[str, dict[bytes, bytes]] = {}
 
 
@@ -61,7 +61,7 @@ def token_ids(path: str):
 
     def encode(texts: list[str]) -> Iterator[bytes]:
         split = [utf8(x).split() for x in texts]
-        new = list({w for ws in split for w in ws if w not in known})
+        new = [w for w in set().union(*split) if w not in known]
         once: dict[bytes, bytes] = {}
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
