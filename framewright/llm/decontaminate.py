@@ -18,6 +18,7 @@ several blocks, rows of equal doc_id and text are joined into one).
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import utf8
+from framewright.llm.common import key_of, utf8
 
 WINDOW = 13
 GRAM = 5
@@ -206,7 +207,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and the hit runs [starts, ends) in words."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    parts = [docs.mapInArrow(_scan(spark.sparkContext.broadcast(Index(b))), PARTS) for b in blocks(benchmark, block_bytes) or [[]]]
+    parts = [docs.mapInArrow(_scan(spark.sparkContext.broadcast(Index(b))), PARTS) for b in blocks(benchmark, block_bytes)]
     if not parts:
         parts = [docs.mapInArrow(_scan(spark.sparkContext.broadcast(Index([]))), PARTS)]
     found = parts[0]
@@ -219,7 +220,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     return found.mapInArrow(_verdicts, VERDICT)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones, in one scan where the benchmark is one block; columns are kept."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+def _unmarked(index) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        for batch in batches:
+            keep = []
+            for text in batch.column("text"):
+                ws = words(text.as_py())
+                hit = sum(b - a for a, b in merge(own.hits(ws)[0])) if ws else 0
+                keep.append(not (hit > 0 and 20 * hit >= len(ws)))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the contaminated ones.
+
+    With a benchmark of one block this is one scan without a shuffle; with more, hits of all blocks are summed first.
+    """
+    held = list(itertools.islice(blocks(benchmark, block_bytes), 2))
+    if len(held) < 2:
+        index = docs.sparkSession.sparkContext.broadcast(Index(held[0] if held else []))
+        return docs.mapInArrow(_unmarked(index), docs.schema)
+    bad = contamination(docs, benchmark, block_bytes).where("contaminated").select(key_of("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, key_of("doc_id") == F.col("_bad"), "left_anti")

@@ -19,6 +19,8 @@ from framewright.llm.common import SPACE, stored
 
 BUCKETS = 65_536
 THRESHOLD = -0.15
+#: Pseudo-counts of a bucket.
+PRIOR = 10.0
 #: Labelled target rows used at most, by smallest doc_id; the only bounded part.
 MAX_TARGET_ROWS = 200_000
 
@@ -72,6 +74,15 @@ def with_repeated_words(df: DataFrame) -> DataFrame:
     )
 
 
+def _here(verdict: Column) -> Column:
+    """The verdict, not to be pushed below the projections it stands on.
+
+    The row number keeps the optimizer from moving a filter down, which would copy the features' expressions into each
+    other and evaluate them many times a row.
+    """
+    return verdict & (F.monotonically_increasing_id() >= 0)
+
+
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds _words (array) and the counted features."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -92,7 +103,7 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     return (
         with_repeated_words(counted)
-        .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+        .withColumn("base_failed", _here((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
         .drop("_lines", "_windows")
     )
 
@@ -107,7 +118,7 @@ def bucket(buckets: int, *words: Column) -> Column:
 
 
 def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_target_rows: int = MAX_TARGET_ROWS) -> Column:
-    """A constant array: for each bucket log p_target - log p_raw, both smoothed by the raw distribution.
+    """A constant array: for each bucket log p_target - log p_raw, both smoothed.
 
     The counts cover every document.  The driver gets ``buckets`` numbers, whatever the corpus' size; as a constant
     they reach the tasks once, not once a row.
@@ -133,10 +144,13 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, ma
     spark = docs.sparkSession
     raw_n, target_n = (F.coalesce(total.select(c).scalar(), F.lit(0)) for c in ("raw", "target"))
     every = spark.range(buckets).select(F.col("id").cast("int").alias("b"))
-    p_raw = (F.coalesce("raw", F.lit(0)) + 1.0) / (raw_n + buckets)
-    # The target counts are few; its prior is worth ``buckets`` n-grams drawn from the raw distribution.
-    p_target = (F.coalesce("target", F.lit(0)) + float(buckets) * p_raw) / (target_n + float(buckets))
-    weights = every.join(counts, "b", "left").select("b", F.round(F.log(p_target / p_raw), 6).alias("w")).orderBy("b").collect()
+    # PRIOR n-grams a bucket smooth the raw multinomial, and as many times the target's share of all n-grams the target's:
+    # a bucket that few documents have says little either way, however small the corpus.
+    share = target_n / F.greatest(raw_n, F.lit(1))
+    p_raw = (F.coalesce("raw", F.lit(0)) + PRIOR) / (raw_n + PRIOR * buckets)
+    p_target = (F.coalesce("target", F.lit(0)) + PRIOR * share) / (target_n + PRIOR * share * buckets)
+    ratio = F.when(target_n > 0, F.log(p_target / p_raw)).otherwise(F.lit(0.0))
+    weights = every.join(counts, "b", "left").select("b", F.round(ratio, 6).alias("w")).orderBy("b").collect()
     return F.from_json(F.lit("[" + ",".join(str(r["w"]) for r in weights) + "]"), "array<double>")
 
 
@@ -153,6 +167,11 @@ def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold
     return (
         with_features(docs)
         .withColumn("score", score)
-        .withColumn("kept", ~F.col("base_failed") & (F.round("score", 9) >= F.lit(threshold)))
+        .withColumn("kept", _here(~F.col("base_failed") & (F.round("score", 9) >= F.lit(threshold))))
         .drop("_words")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """docs' rows that the rules keep, with docs' columns."""
+    return judged(docs, labels, **how).where("kept").select(*docs.columns)

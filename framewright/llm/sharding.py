@@ -90,7 +90,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
         [f for f in placed.schema.fields if f.name not in ("_bucket", "_start", "_order")]
         + [T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]
     )
-    out = placed.repartition(max(partitions(docs.sparkSession), 1), "_bucket").groupBy("_bucket").applyInArrow(_shuffled(seed, shards, total), schema)
+    out = placed.repartition(max(partitions(docs.sparkSession), buckets // 4), "_bucket").groupBy("_bucket").applyInArrow(_shuffled(seed, shards, total), schema)
     out.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 

@@ -27,11 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from framewright.llm.common import partitions, stored, utf8
+from framewright.llm.common import key_of, partitions, stored, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -262,5 +261,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return own.join(named, own["fp"] == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """docs' rows, one of each component: that with the smallest doc_id (of rows with that id, any one).
+
+    Only ids of rows that go are joined to the documents, so the join has no row for a document that stays.
+    """
+    found = stored(near_duplicates(docs, shingle), "components")
+    gone = found.where("NOT (doc_id <=> component_id)").select(key_of("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, key_of("doc_id") == F.col("_gone"), "left_anti")
+    twice = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if twice.isEmpty():
+        return kept
+    # Ids that stand in several rows: those rows alone are cut to one each.
+    again = twice.select(key_of("doc_id").alias("_again"))
+    one = kept.join(again, key_of("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, key_of("doc_id") == F.col("_again"), "left_anti").unionByName(one)
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
