@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import partitions, stored, text_of, utf8
+from framewright.llm.common import partitions, stored, text_of
 
 CAPACITY = 2048
 #: The closing id, 0, as it stands in a sequence.
@@ -37,19 +38,20 @@ ROUNDS = 200
 STEP = 0.25
 RATE = 0.1
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-BATCH_CHARS = 1_000_000
+#: Text that is split and encoded at a time.
+BATCH_BYTES = 4_000_000
 
 
 #: Encoded words that a Python worker keeps, over its tasks, and the longest that it keeps.
-CACHE_WORDS, CACHE_BYTES = 1_500_000, 48
-_kept: dict[str, dict[bytes, bytes]] = {}
+CACHE_WORDS, CACHE_CHARS = 1_500_000, 48
+_kept: dict[str, dict[str, bytes]] = {}
 
 
 def token_ids(path: str):
-    """A function from texts to their ids (uint32, little-endian bytes).
+    """A function from an Arrow array of texts to each text's ids (uint32, little-endian bytes).
 
     The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those of its words in a
-    row, and a word is encoded when a worker first meets it.
+    row.  Arrow splits the texts and numbers their distinct words; a word is encoded when a worker first meets it.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
@@ -57,35 +59,45 @@ def token_ids(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    known = _kept.setdefault(path, {})
-
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        split = [utf8(x).split() for x in texts]
-        new = [w for w in set().union(*split) if w not in known]
-        once: dict[bytes, bytes] = {}
+    known = _kept.setdefault(path, {"": b""})
+
+    def encode(texts: pa.Array) -> Iterator[bytes]:
+        split = pa.compute.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in known]
+        once: dict[str, bytes] = {}
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for w, e in zip(part, t.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                (known if len(w) <= CACHE_BYTES else once)[w] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
-        look = (lambda w: once[w] if w in once else known[w]) if once else known.__getitem__
-        for ws in split:
-            yield b"".join(map(look, ws))
+            for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                (known if len(w) <= CACHE_CHARS else once)[w] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
+        own = [once[w] if w in once else known[w] for w in words] if once else [known[w] for w in words]
+        ids = np.frombuffer(b"".join(own), "<u4")
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = numbered.indices.to_numpy()
+        n = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        flat = ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield flat[a:b].tobytes()
         if len(known) > CACHE_WORDS:
             known.clear()
+            known[""] = b""
 
     return encode
 
 
-def _in_parts(texts: list[str]) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size > BATCH_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _in_parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of some BATCH_BYTES."""
+    sizes = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, "right")))
+        yield texts.slice(start, end - start)
+        start = end
 
 
 def _cut(path: str, capacity: int, with_ids: bool):
@@ -93,7 +105,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
         encode = token_ids(path)
         for batch in batches:
             docs = iter(batch.column("doc_id").to_pylist())
-            for part in _in_parts(batch.column("text").to_pylist()):
+            for part in _in_parts(batch.column("text")):
                 rows: list[list] = [[], [], [], [], [], []]
                 for ids in encode(part):
                     doc = next(docs)
