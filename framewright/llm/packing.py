@@ -39,12 +39,13 @@ STEP = 0.25
 RATE = 0.1
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Text that is split and encoded at a time.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
-#: Encoded words that a Python worker keeps, over its tasks, and the longest that it keeps.
-CACHE_WORDS, CACHE_CHARS = 1_500_000, 48
-_kept: dict[str, dict[str, bytes]] = {}
+#: Encoded words that a Python worker keeps, over its tasks, and the longest that it keeps.  They are kept in two
+#: generations: a full one ages, and what is met again moves to the new one, so common words stay.
+CACHE_WORDS, CACHE_CHARS = 500_000, 48
+_kept: dict[str, list[dict[str, bytes]]] = {}
 
 
 def token_ids(path: str):
@@ -59,13 +60,20 @@ def token_ids(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    known = _kept.setdefault(path, {"": b""})
+    kept = _kept.setdefault(path, [{"": b""}, {}])
 
     def encode(texts: pa.Array) -> Iterator[bytes]:
         split = pa.compute.ascii_split_whitespace(texts)
         numbered = split.flatten().dictionary_encode()
         words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [w for w in words if w not in known]
+        known, old = kept
+        new = []
+        for w in words:
+            if w not in known:
+                if (found := old.get(w)) is None:
+                    new.append(w)
+                else:
+                    known[w] = found
         once: dict[str, bytes] = {}
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
@@ -82,9 +90,8 @@ def token_ids(path: str):
         bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield flat[a:b].tobytes()
-        if len(known) > CACHE_WORDS:
-            known.clear()
-            known[""] = b""
+        if len(known) > CACHE_WORDS // 2:
+            kept[:] = {"": b""}, known
 
     return encode
 
