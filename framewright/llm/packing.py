@@ -44,7 +44,7 @@ BATCH_BYTES = 2_000_000
 
 #: Encoded words that a Python worker keeps, over its tasks, and the longest that it keeps.  They are kept in two
 #: generations: a full one ages, and what is met again moves to the new one, so common words stay.
-CACHE_WORDS, CACHE_CHARS = 500_000, 48
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
 _kept: dict[str, list[dict[str, bytes]]] = {}
 
 

@@ -268,7 +268,8 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """
     found = stored(near_duplicates(docs, shingle), "components")
     gone = found.where("NOT (doc_id <=> component_id)").select(key_of("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, key_of("doc_id") == F.col("_gone"), "left_anti")
+    # How many go grows with the corpus, so they are never broadcast: the plan is the same at every size.
+    kept = docs.join(gone.hint("merge"), key_of("doc_id") == F.col("_gone"), "left_anti")
     twice = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
         return kept
