@@ -13,12 +13,15 @@ from framewright.operators.temporal import islands, nearest, rolling_mean, withi
 from framewright.options import Options
 
 BLOCK = ["rid", "block_no"]
-BY_TIME = Window.partitionBy("rid").orderBy("start_s", "end_s")
+
+
+def by_time():
+    return Window.partitionBy("rid").orderBy("start_s", "end_s")
 
 
 def numbered(blocks: DataFrame) -> DataFrame:
     """Blocks numbered from 0 in order of time."""
-    return blocks.select("rid", (F.row_number().over(BY_TIME) - 1).cast("bigint").alias("block_no"), "start_s", "end_s")
+    return blocks.select("rid", (F.row_number().over(by_time()) - 1).cast("bigint").alias("block_no"), "start_s", "end_s")
 
 
 def blended(logo: Column, nn: Column, weight: float, gate: float) -> Column:
@@ -70,7 +73,9 @@ def vote_refine(edges: DataFrame, events: DataFrame, window: float, cluster: flo
     ahead = F.when(F.col("edge") == "START", d).otherwise(-d)  # negative: the wrong direction
     near = near.where(ahead >= -reach).withColumn("_k", kinds[F.col("kind")])
     by_edge = Window.partitionBy(*BLOCK, "edge")
-    voted = near.withColumn("_score", F.sum("_k.w").over(by_edge.orderBy("anchor").rangeBetween(-cluster, cluster)))
+    # A range frame on a double has no method of its own.
+    frame = f"sum(_k.w) OVER (PARTITION BY rid, block_no, edge ORDER BY anchor RANGE BETWEEN {cluster!r}D PRECEDING AND {cluster!r}D FOLLOWING)"
+    voted = near.withColumn("_score", F.expr(frame))
     dist = F.when(ahead < 0, -2 * ahead).otherwise(ahead)
     best = voted.withColumn("_nth", F.row_number().over(by_edge.orderBy(F.desc("_score"), dist, "_k.o", "anchor", "pos"))).where("_nth = 1")
     moved = best.select(*BLOCK, "edge", F.col("anchor").alias("_to"))
@@ -126,8 +131,8 @@ def long_enough(blocks: DataFrame, min_s: float) -> DataFrame:
 
 def gap_merge(blocks: DataFrame, max_gap: float) -> DataFrame:
     """Blocks at max_gap or less after the one before join it; the end is the last one's own, not the largest."""
-    new = F.when(F.col("start_s") - F.lag("end_s").over(BY_TIME) <= max_gap, 0).otherwise(1)
-    grouped = blocks.withColumn("_nth", F.row_number().over(BY_TIME)).withColumn("_new", new).withColumn("_g", F.sum("_new").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    new = F.when(F.col("start_s") - F.lag("end_s").over(by_time()) <= max_gap, 0).otherwise(1)
+    grouped = blocks.withColumn("_nth", F.row_number().over(by_time())).withColumn("_new", new).withColumn("_g", F.sum("_new").over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     return numbered(grouped.groupBy("rid", "_g").agg(F.min_by("start_s", "_nth").alias("start_s"), F.max_by("end_s", "_nth").alias("end_s")))
 
 

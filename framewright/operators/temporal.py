@@ -31,9 +31,9 @@ def within(edges: DataFrame, points: DataFrame, at: Column, point: str, before:
     width = max(before + after, 1e-9)
     e = edges.withColumn("_lo", at - F.lit(before)).withColumn("_hi", at + F.lit(after))
     e = e.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
-    p = points.withColumn("_bucket", F.floor(F.col(point) / width))
-    on = (e[key] == p[key]) & (e["_bucket"] == p["_bucket"]) & (p[point] >= e["_lo"]) & (p[point] <= e["_hi"])
-    return e.join(p, on, how).drop(p[key]).drop("_bucket", "_lo", "_hi")
+    p = points.withColumnRenamed(key, "_key").withColumn("_at", F.floor(F.col(point) / width))
+    on = (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_at")) & (F.col(point) >= F.col("_lo")) & (F.col(point) <= F.col("_hi"))
+    return e.join(p, on, how).drop("_key", "_bucket", "_at", "_lo", "_hi")
 
 
 def overlapping(a: DataFrame, b: DataFrame, width: float, key: str = "rid", slack: float = 0.0) -> DataFrame:
