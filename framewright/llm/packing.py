@@ -44,11 +44,11 @@ BATCH_BYTES = 2_000_000
 
 #: Encoded words that a Python worker keeps, over its tasks, and the longest that it keeps.  They are kept in two
 #: generations: a full one ages, and what is met again moves to the new one, so common words stay.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS, CACHE_CHARS = 1_500_000, 48
 _kept: dict[str, list[dict[str, bytes]]] = {}
 
 
-def token_ids(path: str):
+def token_ids(path: str, cache_words: int = CACHE_WORDS):
     """A function from an Arrow array of texts to each text's ids (uint32, little-endian bytes).
 
     The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those of its words in a
@@ -90,7 +90,7 @@ def token_ids(path: str):
         bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield flat[a:b].tobytes()
-        if len(known) > CACHE_WORDS // 2:
+        if len(known) > cache_words // 2:
             kept[:] = {"": b""}, known
 
     return encode
@@ -107,9 +107,9 @@ def _in_parts(texts: pa.Array) -> Iterator[pa.Array]:
         start = end
 
 
-def _cut(path: str, capacity: int, with_ids: bool):
+def _cut(path: str, capacity: int, with_ids: bool, cache_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_ids(path)
+        encode = token_ids(path, cache_words)
         for batch in batches:
             docs = iter(batch.column("doc_id").to_pylist())
             for part in _in_parts(batch.column("text")):
@@ -129,10 +129,13 @@ def _cut(path: str, capacity: int, with_ids: bool):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Every document's tokens and the closing id, cut where longer than capacity; with_ids adds the ids (uint32, little-endian)."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Every document's tokens and the closing id, cut where longer than capacity; with_ids adds the ids (uint32, little-endian).
+
+    cache_words trades a worker's memory (about 200 bytes a word) for time; the result does not depend on it.
+    """
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text").alias("text")).mapInArrow(
-        _cut(tokenizer, capacity, with_ids), PIECES + (", ids binary" if with_ids else "")
+        _cut(tokenizer, capacity, with_ids, cache_words), PIECES + (", ids binary" if with_ids else "")
     )
 
 
@@ -299,9 +302,9 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = ROUNDS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all docs with sequence_id and offset.  Tokens are counted once, in one pass over the texts."""
-    return packed(stored(pieces(docs, tokenizer, capacity), "pieces"), capacity, rounds)
+    return packed(stored(pieces(docs, tokenizer, capacity, cache_words=cache_words), "pieces"), capacity, rounds)
 
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:

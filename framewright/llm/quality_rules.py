@@ -21,7 +21,7 @@ BUCKETS = 65_536
 THRESHOLD = -0.15
 #: Pseudo-counts of a bucket.
 PRIOR = 10.0
-#: Labelled target rows used at most, by smallest doc_id; the only bounded part.
+#: Labelled target rows used, a hashed share where there are more; the only bounded part.
 MAX_TARGET_ROWS = 200_000
 
 
@@ -123,13 +123,10 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, ma
     The counts cover every document.  The driver gets ``buckets`` numbers, whatever the corpus' size; as a constant
     they reach the tasks once, not once a row.
     """
-    target = (
-        labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-        .select(F.col("doc_id").alias("_target"))
-        .distinct()
-        .orderBy("_target")
-        .limit(max_target_rows)
-    )
+    target = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_target")).distinct()
+    found = target.count()
+    if found > max_target_rows:  # a share of them by hash, so that what is broadcast stays bounded
+        target = target.where(F.pmod(F.xxhash64("_target"), F.lit(1 << 30)) < int((1 << 30) * max_target_rows / found))
     grams = (
         docs.select("doc_id", "text")
         .join(F.broadcast(target), F.col("doc_id") == F.col("_target"), "left")
