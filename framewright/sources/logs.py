@@ -100,7 +100,7 @@ def logo_template(files: DataFrame) -> DataFrame:
     head = files.select("rid", *(key(k) for k in ("logoMinX", "logoMaxX", "logoMinY", "logoMaxY")), F.split(F.regexp_extract("value", r"(?s)Combined Logo Mask[^\n]*\n[^\n]*\n(.*)", 1), "\n").alias("rows"))
     cells = head.select("*", F.posexplode("rows").alias("j", "row")).where(F.col("j") < F.col("logoMaxY") - F.col("logoMinY"))
     dots = cells.select("*", F.posexplode(F.split("row", "")).alias("i", "c")).where((F.col("i") < F.col("logoMaxX") - F.col("logoMinX")) & ~F.col("c").isin("", " ", "\r"))
-    return dots.select("rid", (F.col("logoMinX") + F.col("i")).alias("x"), (F.col("logoMinY") + F.col("j")).alias("y"))
+    return dots.select("rid", (F.col("logoMinX") + F.col("i")).cast("bigint").alias("x"), (F.col("logoMinY") + F.col("j")).cast("bigint").alias("y"))
 
 
 def cutlist(log: DataFrame, min_s: float = 60.0, gap_s: float = 45.0) -> DataFrame:
