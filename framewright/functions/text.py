@@ -32,7 +32,7 @@ def title(stem: Column) -> Column:
 
 
 def comma_list(s: Column) -> Column:
-    return F.filter(F.transform(F.split(s, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def rate(s: Column) -> Column:

@@ -210,3 +210,14 @@ def form(signals: DataFrame, events: DataFrame, options: Options) -> DataFrame:
     blocks = runaway_drop(blocks, durations, o.max_block_fraction)
     blocks = numbered(split_long(blocks, events.where("kind = 'black'"), o.max_block_s))
     return extend(blocks, durations, o.start_extend_s, o.end_extend_s, o.min_block_s) if o.start_extend_s or o.end_extend_s else blocks
+
+
+def two_tier_refine(edges: DataFrame, events: DataFrame, window: float) -> DataFrame:
+    """The older refinement: the nearest black event's inner end within the window, else the nearest silence's."""
+    out = edges
+    for kind in ("silence", "black"):  # a later kind wins over an earlier one
+        own = events.where(F.col("kind") == kind).select("rid", F.explode(F.array(F.struct(F.lit("START").alias("side"), F.col("end_s").alias("a")), F.struct(F.lit("END").alias("side"), F.col("start_s").alias("a")))).alias("_x")).select("rid", "_x.side", "_x.a")
+        near = within(edges, own, F.col("t"), "a", window, window).where("edge = side")
+        best = near.groupBy(*BLOCK, "edge").agg(F.min_by("a", F.struct(F.abs(F.col("a") - F.col("t")), F.col("a"))).alias("_to"))
+        out = out.join(best, [*BLOCK, "edge"], "left").withColumn("t", F.coalesce("_to", "t")).drop("_to")
+    return out.select(*BLOCK, "edge", "t")

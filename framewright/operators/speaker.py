@@ -66,3 +66,10 @@ def expanded(frames: DataFrame, windows: DataFrame) -> DataFrame:
     at = frames.join(hop, "rid", "left").withColumn("_w", (F.col("time_s") / F.col("_hop")).cast("bigint"))
     own = w.where("has_speech").select("rid", "_w", "conf")
     return at.join(own, ["rid", "_w"], "left").withColumn("speaker", F.coalesce("conf", F.lit(0.5))).drop("_w", "_hop", "conf")
+
+
+def window_embeddings(samples: DataFrame, embed: Column, window: int = 32_000, hop: int = 16_000) -> DataFrame:
+    """(rid, w, embedding): whole windows of samples (i, x), a hop apart, through embed over the column xs, at unit length."""
+    at = F.sequence(F.greatest(F.ceil((F.col("i") - window + 1) / hop), F.lit(0).cast("bigint")), F.floor(F.col("i") / hop))
+    w = samples.select("rid", "i", "x", F.explode(at).alias("w")).groupBy("rid", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("xs"))
+    return w.where(F.size("xs") == window).select("rid", "w", normalised(embed).alias("embedding"))

@@ -70,6 +70,12 @@ best AS (SELECT rid, block_no, edge, p FROM (SELECT *, row_number() OVER (PARTIT
 SNAPPED = "SELECT e.rid, e.block_no, e.edge, coalesce(b.p, e.t) AS t FROM edges e LEFT JOIN best b USING (rid, block_no, edge)"
 
 
+@query("b19_two_tier_refine", sql(FRAMES, BLOCKS, SIG, """a AS (SELECT rid, kind, 'START' AS edge, end_s AS p FROM sig WHERE kind IN ('black', 'silence') UNION ALL SELECT rid, kind, 'END', start_s FROM sig WHERE kind IN ('black', 'silence')),
+best AS (SELECT rid, block_no, edge, p FROM (SELECT e.rid, e.block_no, e.edge, p, row_number() OVER (PARTITION BY e.rid, e.block_no, e.edge ORDER BY kind, abs(p - t), p) AS k FROM edges e JOIN a ON a.rid = e.rid AND a.edge = e.edge AND abs(p - t) <= 3) WHERE k = 1)""", select="SELECT e.rid, e.block_no, e.edge, round(coalesce(b.p, e.t), 6) AS t FROM edges e LEFT JOIN best b USING (rid, block_no, edge)"))
+def b19(spark, d):
+    return B.two_tier_refine(B.edges_of(blocks(spark, d)), events(spark, d), 3.0).withColumn("t", F.round("t", 6))
+
+
 @query("b8_iframe_snap", sql(FRAMES, BLOCKS, _snap_sql("SELECT rid, time_s AS t FROM frames WHERE idx % 12 = 0", 5.0), select=SNAPPED))
 def b8(spark, d):
     points = frames(spark, d).where("idx % 12 = 0").select("rid", F.col("time_s").alias("t"))

@@ -474,3 +474,47 @@ def a12(spark, d):
     f = _read(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"), (F.col("label") < 3).cast("int").alias("label"), F.lit(1.0).alias("weight"))
     m = M.fit_head(f, max_iter=100)
     return spark.createDataFrame([(i, float(c)) for i, c in enumerate([*m.coefficients, m.intercept])], "i int, w double")
+
+
+@query("s1_probe", sql(FRAMES, select="SELECT event_id AS rid, 720 AS width, 576 AS height, CASE WHEN event_id % 4 = 0 THEN 50.0 ELSE 25.0 END::DOUBLE AS fps, (idx + 1)::DOUBLE AS duration_s, CASE WHEN event_id % 3 = 0 THEN 77 ELSE floor((idx + 1) * CASE WHEN event_id % 4 = 0 THEN 50.0 ELSE 25.0 END + 0.5)::BIGINT END AS frame_count FROM frames"))
+def s1(spark, d):
+    e = F.col("event_id")
+    video = F.format_string('{"codec_type":"video","width":720,"height":576,"r_frame_rate":"%s","avg_frame_rate":"25/1"%s}', F.when(e % 4 == 0, "50/1").otherwise("0/0"), F.when(e % 3 == 0, ',"nb_frames":"77"').otherwise(""))
+    doc = F.format_string('{"streams":[{"codec_type":"audio"},%s],"format":{"duration":"%d.0"}}', video, F.col("idx") + 1)
+    return logs.probe(frames(spark, d).select(e.alias("rid"), doc.alias("value")))
+
+
+@query("s19_pending_features", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def s19(spark, d):
+    return _read(spark, d, "documents").select("doc_id").join(_read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("j10_dimension_lookup", "SELECT o_orderkey, coalesce(c_name, '') AS name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) ON c_custkey = o_custkey")
+def j10(spark, d):
+    c = _read(spark, d, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return _read(spark, d, "orders").join(c, "o_custkey", "left").select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("name"))
+
+
+@query("k4_template_rows", sql(PIX, SOBEL, COUNTS, "n AS (SELECT count(DISTINCT frame) // 2 AS n FROM pix)", select="SELECT y, string_agg(CASE WHEN h >= n AND v >= n THEN '+' WHEN h >= n THEN '|' WHEN v >= n THEN '-' ELSE ' ' END, '' ORDER BY x) AS value FROM ec, n GROUP BY y"))
+def k4(spark, d):
+    from framewright.sinks import template_rows
+
+    img = image(spark, d)
+    half = img.select("frame").distinct().count() // 2
+    return template_rows(P.edge_counts(P.sobel(img), 40), half, 1, 6, 1, 6).select(F.col("y").cast("bigint").alias("y"), "value")
+
+
+@query("k5_speaker_csv", sql(FRAMES, select="SELECT rid, printf('%.3f', time_s) || ',' || printf('%.4f', speaker) || ',' || (nn > 0.3)::INT AS value FROM frames"))
+def k5(spark, d):
+    from framewright.sinks import speaker_csv
+
+    return speaker_csv(frames(spark, d).select("rid", "time_s", F.col("speaker").alias("conf"), (F.col("nn") > 0.3).alias("has_speech")))
+
+
+@query("p14_window_embeddings", sql("s AS (SELECT label AS rid, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS i, e::DOUBLE AS x FROM (SELECT label, vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings))", "n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid)", "w AS (SELECT rid, unnest(range((n - 64) // 32 + 1)) AS w FROM n WHERE n >= 64)",
+    "m AS (SELECT w.rid, w.w, avg(x) AS a, max(x) AS b FROM w JOIN s ON s.rid = w.rid AND s.i >= 32 * w.w AND s.i < 32 * w.w + 64 GROUP BY ALL)", select="SELECT rid, w, round(a / sqrt(a * a + b * b), 7) AS e0, round(b / sqrt(a * a + b * b), 7) AS e1 FROM m"))
+def p14(spark, d):
+    e = _read(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "e"))
+    s = e.select(F.col("label").alias("rid"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id", "i")) - 1).cast("bigint").alias("i"), F.col("e").cast("double").alias("x"))
+    embed = F.array(F.aggregate("xs", F.lit(0.0), lambda a, x: a + x) / F.size("xs"), F.array_max("xs"))
+    return S.window_embeddings(s, embed, 64, 32).select("rid", "w", F.round(F.get("embedding", 0), 7).alias("e0"), F.round(F.get("embedding", 1), 7).alias("e1"))
