@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import new_path, partitions, text_of
+from framewright.llm.common import new_path, partitions, stored, text_of
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 LIMIT = 512
@@ -111,6 +111,8 @@ def counted(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: in
     missing.write.mode("append").parquet(cache)
     # A digest may be there twice after two jobs appended at the same time.
     counts = open_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # As a table of its own, so that the join below can split the rows of a digest that very many documents have.
+    counts = stored(counts, "digest-counts")
     keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     return (
         docs.select(*keep, F.octet_length(text_of("text")).cast("bigint").alias("n_bytes"), digest.alias("_digest"))
