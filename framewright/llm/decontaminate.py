@@ -155,7 +155,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
         yield held
 
 
-PARTS = "doc_id bigint, digest binary, n_words bigint, starts array<int>, ends array<int>, items array<bigint>"
+PARTS = "doc_id bigint, h bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>"
 
 
 def _scan(index) -> object:
@@ -163,13 +163,13 @@ def _scan(index) -> object:
         own = index.value
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py()
                 ws = words(text)
                 runs, items = own.hits(ws) if ws else ([], set())
                 merged = merge(runs)
-                rows.append((doc, hashlib.blake2b(utf8(text), digest_size=16).digest(), len(ws), [a for a, _ in merged], [b for _, b in merged], sorted(items)))
-            yield _batch(rows, [("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+                rows.append((doc, h, len(ws), [a for a, _ in merged], [b for _, b in merged], sorted(items)))
+            yield _batch(rows, [("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
 
     return run
 
@@ -189,7 +189,7 @@ def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-VERDICT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, starts array<int>, ends array<int>"
+VERDICT = "doc_id bigint, h bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, starts array<int>, ends array<int>"
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +199,14 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = merge(list(zip(r["starts"], r["ends"], strict=True)))
             hit = sum(b - a for a, b in runs)
             ids = sorted({str(i) for i in r["items"]})
-            rows.append((r["doc_id"], r["n_words"], hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and 20 * hit >= r["n_words"], [a for a, _ in runs], [b for _, b in runs]))
-        yield _batch(rows, [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+            rows.append((r["doc_id"], r["h"], r["n_words"], hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and 20 * hit >= r["n_words"], [a for a, _ in runs], [b for _, b in runs]))
+        yield _batch(rows, [("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and the hit runs [starts, ends) in words."""
+    """Per document: its text's hash h, n_words, n_hit, n_items, items_sha256, contaminated, and the hit runs [starts, ends) in words."""
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     parts = [docs.mapInArrow(_scan(spark.sparkContext.broadcast(Index(b))), PARTS) for b in blocks(benchmark, block_bytes)]
     if not parts:
         parts = [docs.mapInArrow(_scan(spark.sparkContext.broadcast(Index([]))), PARTS)]
@@ -214,7 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     for p in parts[1:]:
         found = found.unionByName(p)
     if len(parts) > 1:  # what the blocks say of a document comes together; there are as many rows as blocks
-        found = found.groupBy("doc_id", "digest").agg(
+        found = found.groupBy("doc_id", "h").agg(
             F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items"))
         )
     return found.mapInArrow(_verdicts, VERDICT)
@@ -243,5 +243,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     if len(held) < 2:
         index = docs.sparkSession.sparkContext.broadcast(Index(held[0] if held else []))
         return docs.mapInArrow(_unmarked(index), docs.schema)
-    bad = contamination(docs, benchmark, block_bytes).where("contaminated").select(key_of("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, key_of("doc_id") == F.col("_bad"), "left_anti")
+    bad = contamination(docs, benchmark, block_bytes).where("contaminated").select(key_of("doc_id").alias("_bad"), "h").distinct()
+    return docs.join(bad.hint("merge"), (key_of("doc_id") == F.col("_bad")) & (F.xxhash64("text") == F.col("h")), "left_anti")

@@ -70,14 +70,15 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fp.view(np.int64))], names=["doc_id", "h", "fp"])
 
     return run
 
 
 def fingerprinted(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row a document; fp is the fingerprint's 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint")
+    """(doc_id, h, fp): one row a document; h is its text's hash, fp the fingerprint's 64 bits as a signed long."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return own.mapInArrow(_fingerprints(shingle), "doc_id bigint, h bigint, fp bigint")
 
 
 # ---- the trie
@@ -251,32 +252,37 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id): one row a document."""
+    """(doc_id, h, fp, root, component_id): one row a document; root is the component's smallest fingerprint."""
     own = stored(fingerprinted(docs, shingle), "fingerprints")
     distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct, spanning_only=True))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return own.join(named, own["fp"] == F.col("_fp")).select("doc_id", "fp", "component_id")
+    named = rooted.join(ids, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    return own.join(named, own["fp"] == F.col("_fp")).select("doc_id", "h", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs' rows, one of each component: that with the smallest doc_id (of rows with that id, any one).
+    """docs' rows, one of each component: that with the smallest doc_id (a null one last; of equal ids, by text hash).
 
-    Only ids of rows that go are joined to the documents, so the join has no row for a document that stays.
+    A row is known by its doc_id and text, so rows that share an id, or have none, are judged one by one.  Only the keys
+    of rows that go are joined to the documents, so the join has no row for a document that stays.
     """
-    found = stored(near_duplicates(docs, shingle), "components")
-    gone = found.where("NOT (doc_id <=> component_id)").select(key_of("doc_id").alias("_gone")).distinct()
+    me = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
+    found = stored(near_duplicates(docs, shingle).select("root", me.alias("me")), "components")
+    first = stored(found.groupBy("root").agg(F.min("me").alias("first")), "representatives")
+    marked = found.join(first, "root")
+    key = lambda df: df.select(key_of("me.doc_id").alias("_id"), F.col("me.h").alias("_h"))
+    on = (key_of("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
     # How many go grows with the corpus, so they are never broadcast: the plan is the same at every size.
-    kept = docs.join(gone.hint("merge"), key_of("doc_id") == F.col("_gone"), "left_anti")
-    twice = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    kept = docs.join(key(marked.where("NOT (me <=> first)")).distinct().hint("merge"), on, "left_anti")
+    twice = marked.where("me <=> first").groupBy("me").agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
         return kept
-    # Ids that stand in several rows: those rows alone are cut to one each.
-    again = twice.select(key_of("doc_id").alias("_again"))
-    one = kept.join(again, key_of("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, key_of("doc_id") == F.col("_again"), "left_anti").unionByName(one)
+    # Repeated rows: those rows alone are cut to one each.
+    again = key(twice)
+    one = kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, on, "left_anti").unionByName(one)
 
 
 def hex_of(fp: Column) -> Column:

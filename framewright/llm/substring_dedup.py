@@ -18,8 +18,8 @@ document) goes.  Texts are UTF-8 bytes; matches stay within a document.
 
 Equality of segments and windows in steps 2 and 4 is equality of 64-bit hashes, of a gram and of the whole together.
 
-Nulls and ties: a null text is empty; a null doc_id counts as the smallest.  Rows of the same doc_id are one place:
-spans found in any of them are removed from each, as far as its text reaches.
+Nulls and ties: a null text is empty; a null doc_id counts as the smallest.  Different texts of one doc_id, or of none,
+are documents of their own, in the order of their hashes; rows equal in both are the same document, not repeats.
 """
 
 from __future__ import annotations
@@ -353,8 +353,18 @@ def _removed(with_bytes: bool):
     return run
 
 
+def _keyed(own: DataFrame) -> DataFrame:
+    """own, with ``doc`` telling texts apart: where an id (or none) has several texts, a key in the order of id and text hash."""
+    ids = own.select("doc", F.xxhash64("text").alias("h"))
+    if ids.groupBy("doc").agg((F.min("h") != F.max("h")).alias("several")).where("several").isEmpty():
+        return own
+    # Row numbers of a sorted table grow with its order; written, they stay as they are.
+    keys = stored(ids.distinct().orderBy("doc", "h").select(F.col("doc").alias("_d"), F.col("h").alias("_h"), F.monotonically_increasing_id().alias("_key")), "text-keys")
+    return own.join(keys, (F.col("doc") == F.col("_d")) & (F.xxhash64("text") == F.col("_h"))).select("doc_id", F.col("_key").alias("doc"), "text")
+
+
 def deduped(docs: DataFrame, length: int = LENGTH, with_bytes: bool = True, **how) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept (null unless with_bytes)."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key_of("doc_id").alias("doc"), text_of("text").alias("text"))
+    own = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key_of("doc_id").alias("doc"), text_of("text").alias("text")))
     spans = repeated_spans(own.select("doc", "text"), length, **how).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return own.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(_removed(with_bytes), RESULT)

@@ -198,6 +198,16 @@ def test_substrings(spark, how):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == removed_by_hand(docs)
 
 
+def test_substrings_of_shared_and_missing_ids(spark):
+    rng = random.Random(1)
+    a, b, c = ("".join(rng.choice("abcdef") for _ in range(300)) for _ in range(3))
+    rows = [(None, a), (None, b + c[:120]), (1, b), (1, c), (1, c), (2, "zz" + a)]
+    out = substring_dedup.deduped(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in out)[-1] == (True, 2, 302, 300)
+    assert sum(r.n_removed for r in out if r.doc_id is None) == 0
+    assert sorted(r.n_removed for r in out if r.doc_id == 1) == [120, 120, 300]
+
+
 def test_substrings_edges(awkward, nothing):
     out = substring_dedup.deduped(awkward).collect()
     assert len(out) == awkward.count() and all(len(r.kept) == r.n_bytes - r.n_removed for r in out)
@@ -265,6 +275,12 @@ def test_representatives(awkward, nothing):
     assert simhash.representatives(nothing).count() == 0
 
 
+def test_representatives_of_shared_and_missing_ids(spark, prose):
+    a, b, c = prose(60), prose(60), prose(60)
+    df = spark.createDataFrame([row(None, a), row(1, a), row(None, b), row(5, b + " "), row(5, c), row(7, c), row(7, c), row(None, None)], SCHEMA)
+    assert sorted(((r.doc_id, r.text) for r in simhash.representatives(df).collect()), key=str) == sorted([(1, a), (5, b + " "), (5, c), (None, None)], key=str)
+
+
 # ---- 8
 
 
