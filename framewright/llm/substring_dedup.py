@@ -353,18 +353,24 @@ def _removed(with_bytes: bool):
     return run
 
 
-def _keyed(own: DataFrame) -> DataFrame:
-    """own, with ``doc`` telling texts apart: where an id (or none) has several texts, a key in the order of id and text hash."""
+def _keyed(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """own, with ``doc`` telling texts apart, and the same with each text once.
+
+    Where an id (or none) has several texts, doc becomes a key in the order of id and text hash.
+    """
     ids = own.select("doc", F.xxhash64("text").alias("h"))
-    if ids.groupBy("doc").agg((F.min("h") != F.max("h")).alias("several")).where("several").isEmpty():
-        return own
+    seen = ids.groupBy("doc").agg((F.min("h") != F.max("h")).alias("several"), F.count("*").alias("n"))
+    several, most = seen.agg(F.coalesce(F.bool_or("several"), F.lit(False)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if not several:
+        return own, own if most < 2 else own.dropDuplicates(["doc"])
     # Row numbers of a sorted table grow with its order; written, they stay as they are.
     keys = stored(ids.distinct().orderBy("doc", "h").select(F.col("doc").alias("_d"), F.col("h").alias("_h"), F.monotonically_increasing_id().alias("_key")), "text-keys")
-    return own.join(keys, (F.col("doc") == F.col("_d")) & (F.xxhash64("text") == F.col("_h"))).select("doc_id", F.col("_key").alias("doc"), "text")
+    own = own.join(keys, (F.col("doc") == F.col("_d")) & (F.xxhash64("text") == F.col("_h"))).select("doc_id", F.col("_key").alias("doc"), "text")
+    return own, own.dropDuplicates(["doc"])
 
 
 def deduped(docs: DataFrame, length: int = LENGTH, with_bytes: bool = True, **how) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept (null unless with_bytes)."""
-    own = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key_of("doc_id").alias("doc"), text_of("text").alias("text")))
-    spans = repeated_spans(own.select("doc", "text"), length, **how).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    own, once = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key_of("doc_id").alias("doc"), text_of("text").alias("text")))
+    spans = repeated_spans(once.select("doc", "text"), length, **how).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return own.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(_removed(with_bytes), RESULT)
