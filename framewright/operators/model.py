@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Channel slugs in the order of the head's weights (append only).
-CHANNELS = ("kabel-eins", "prosieben", "rtl", "sat-1", "vox", "rtlzwei")
+CHANNELS = ("kabel-eins", "prosieben", "rtl", "sat-1", "sixx", "vox")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -114,7 +114,7 @@ def persistence_sweep(counts: DataFrame, frames: int, start: float, max_area: in
     boxes = met.groupBy("step", "persistence").agg(
         F.greatest(F.min("x") - margin, F.lit(0)).alias("min_x"), F.least(F.max("x") + margin, F.lit(width - 1)).alias("max_x"),
         F.greatest(F.min("y") - margin, F.lit(0)).alias("min_y"), F.least(F.max("y") + margin, F.lit(height - 1)).alias("max_y"), F.count("*").alias("edges"),
-    ).withColumn("area", (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")))
+    ).withColumn("area", (F.col("max_x") - F.col("min_x") + 1) * (F.col("max_y") - F.col("min_y") + 1))
     small = F.when(F.col("area") <= max_area, 0).otherwise(1)
     return boxes.orderBy(small, F.when(small == 0, F.col("step")).otherwise(-F.col("step"))).limit(1).drop("step")
 

@@ -210,6 +210,17 @@ def k2(spark, d):
     return sinks.cutlists(recordings(spark, d), blocks(spark, d))
 
 
-@query("k3_event_listing", sql(FRAMES, SIG, select="SELECT rid, printf('%.3f', start_s) || chr(9) || printf('%.3f', pos::DOUBLE) AS value FROM sig WHERE kind = 'black'"))
+@query("k3_event_listing", sql(FRAMES, SIG, select="SELECT rid, start_s, printf('blackframe start=%.3f end=%.3f duration=%.3f', start_s, end_s, end_s - start_s) AS value FROM sig WHERE kind = 'black'"))
 def k3(spark, d):
-    return sinks.listing(events(spark, d).where("kind = 'black'"), "start_s", "pos")
+    return sinks.run_listing(events(spark, d).where("kind = 'black'"), "blackframe")
+
+
+@query("k3_series_listing", sql(FRAMES, select="SELECT rid, idx, printf('%d,%.3f,%.4f', idx, idx / 25.0, nn) AS value FROM frames"))
+def k3_series(spark, d):
+    return sinks.series_listing(frames(spark, d), "nn", 25.0)
+
+
+@query("k3_letterbox_listing", sql(FRAMES, SIG, select="SELECT rid, start_s AS time_s, printf('letterbox %s frame=%d t=%.3f', kind, pos, start_s) AS value FROM sig WHERE kind IN ('onset', 'offset')"))
+def k3_letterbox(spark, d):
+    turns = events(spark, d).where("kind IN ('onset', 'offset')")
+    return sinks.letterbox_listing(turns.select("rid", F.col("start_s").alias("time_s"), (F.col("kind") == "onset").alias("onset"), F.col("pos").alias("idx")))

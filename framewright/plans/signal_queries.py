@@ -111,11 +111,11 @@ def a4(spark, d):
 
 @query("a5_persistence_sweep", sql("ps AS (SELECT 0 AS step, 0.3::DOUBLE AS p UNION ALL SELECT step + 1, p + 0.02::DOUBLE FROM ps WHERE p + 0.02::DOUBLE < 1)", PIX, SOBEL, COUNTS, "n AS (SELECT count(DISTINCT frame) AS n FROM pix)",
     "bx AS (SELECT step, p AS persistence, greatest(min(x) - 1, 0) AS min_x, least(max(x) + 1, 7) AS max_x, greatest(min(y) - 1, 0) AS min_y, least(max(y) + 1, 7) AS max_y, count(*) AS edges FROM ps, n, ec WHERE greatest(h, v) >= trunc(n * p) GROUP BY step, p)",
-    recursive=True, select="SELECT round(persistence, 9) AS persistence, min_x, max_x, min_y, max_y, edges, area FROM (SELECT *, (max_x - min_x) * (max_y - min_y) AS area FROM bx) ORDER BY area > 36, CASE WHEN area <= 36 THEN step ELSE -step END LIMIT 1"))
+    recursive=True, select="SELECT round(persistence, 9) AS persistence, min_x, max_x, min_y, max_y, edges, area FROM (SELECT *, (max_x - min_x + 1) * (max_y - min_y + 1) AS area FROM bx) ORDER BY area > 49, CASE WHEN area <= 49 THEN step ELSE -step END LIMIT 1"))
 def a5(spark, d):
     img = image(spark, d)
     n = img.select("frame").distinct().count()
-    return P.persistence_sweep(P.edge_counts(P.sobel(img), 40), n, 0.3, 36, 1, 8, 8).withColumn("persistence", F.round("persistence", 9))
+    return P.persistence_sweep(P.edge_counts(P.sobel(img), 40), n, 0.3, 49, 1, 8, 8).withColumn("persistence", F.round("persistence", 9))
 
 
 @query("t1_top_pixels", sql(PIX, SOBEL, COUNTS, select="SELECT *, greatest(h, v) AS score FROM ec WHERE greatest(h, v) > 0 ORDER BY score DESC, y, x LIMIT 10"))
@@ -149,9 +149,10 @@ def s5(spark, d):
     return logs.silence_from_level(frames(spark, d).select("rid", "idx", F.col("logo").alias("rms")), -10.0, 2.0)
 
 
-@query("s6_iframe_list")
+@query("s6_iframe_list", sql(FRAMES, select="SELECT rid, time_s AS t FROM frames WHERE idx % 12 = 0"))
 def s6(spark, d):
-    return logs.iframes(log_lines(spark, d, lambda f: F.when(f.idx % 12 == 0, F.format_string("pts_time=%.3f", "time_s")).when(f.idx % 12 == 1, "pts_time=N/A").otherwise("")))
+    times = logs.iframes(log_lines(spark, d, lambda f: F.when(f.idx % 12 == 0, F.format_string("%.6f", "time_s")).when(f.idx % 12 == 1, "N/A").otherwise("")))
+    return times.select("rid", F.explode("times").alias("t"))
 
 
 @query("s7_rms_normalise", sql(FRAMES, "n AS (SELECT rid, count(*) AS n FROM frames GROUP BY rid)", "r AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY idx) - 1 AS sec, CASE WHEN event_id % 11 = 0 THEN 0.0 ELSE greatest(least((60.0 - event_id % 97) / 60, 1), 0) END AS l FROM frames WHERE event_type <> 'signup')",
@@ -495,7 +496,7 @@ def j10(spark, d):
     return _read(spark, d, "orders").join(c, "o_custkey", "left").select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("name"))
 
 
-@query("k4_template_rows", sql(PIX, SOBEL, COUNTS, "n AS (SELECT count(DISTINCT frame) // 2 AS n FROM pix)", select="SELECT y, string_agg(CASE WHEN h >= n AND v >= n THEN '+' WHEN h >= n THEN '|' WHEN v >= n THEN '-' ELSE ' ' END, '' ORDER BY x) AS value FROM ec, n GROUP BY y"))
+@query("k4_template_rows", sql(PIX, SOBEL, COUNTS, "n AS (SELECT count(DISTINCT frame) // 2 AS n FROM pix)", select="SELECT y, string_agg(CASE WHEN h >= n AND v >= n THEN '+' WHEN v >= n THEN '|' WHEN h >= n THEN '-' ELSE ' ' END, '' ORDER BY x) AS value FROM ec, n GROUP BY y"))
 def k4(spark, d):
     from framewright.sinks import template_rows
 

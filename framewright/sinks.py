@@ -27,9 +27,29 @@ def cutlists(recordings: DataFrame, blocks: DataFrame) -> DataFrame:
     return recordings.join(own, "rid", "left").select("rid", F.concat_ws("\n", head, rule, F.coalesce("lines", F.array().cast("array<string>"))).alias("value"))
 
 
-def listing(events: DataFrame, *columns: str, digits: int = 3) -> DataFrame:
-    """(rid, value): a line an event, numbers with fixed digits."""
-    return events.select("rid", F.concat_ws("\t", *(F.format_string(f"%.{digits}f", F.col(c).cast("double")) for c in columns)).alias("value"))
+# The line formats of the event listings.
+RUN_LINE = "%s start=%.3f end=%.3f duration=%.3f"
+SCENE_LINE = "scene frame=%d t=%.3f dist=%.3f"
+LETTERBOX_LINE = "letterbox %s frame=%d t=%.3f"
+SERIES_HEADS = {"logo": "idx,time_s,confidence", "bumper": "idx,time_s,bumper_score"}
+
+
+def run_listing(runs: DataFrame, name: str) -> DataFrame:
+    """(rid, start_s, value): a line a run; name is blackframe or silence."""
+    return runs.select("rid", "start_s", F.format_string(RUN_LINE, F.lit(name), "start_s", "end_s", F.col("end_s") - F.col("start_s")).alias("value"))
+
+
+def scene_listing(cuts: DataFrame) -> DataFrame:
+    return cuts.select("rid", "time_s", F.format_string(SCENE_LINE, "idx", "time_s", "distance").alias("value"))
+
+
+def letterbox_listing(turns: DataFrame) -> DataFrame:
+    return turns.select("rid", "time_s", F.format_string(LETTERBOX_LINE, F.when(F.col("onset"), "onset").otherwise("offset"), "idx", "time_s").alias("value"))
+
+
+def series_listing(frames: DataFrame, column: str, fps: float) -> DataFrame:
+    """(rid, idx, value): a CSV line a frame, to stand under its head of SERIES_HEADS."""
+    return frames.select("rid", "idx", F.format_string("%d,%.3f,%.4f", "idx", F.col("idx") / fps, F.col(column)).alias("value"))
 
 
 def speaker_csv(windows: DataFrame) -> DataFrame:
@@ -37,8 +57,8 @@ def speaker_csv(windows: DataFrame) -> DataFrame:
 
 
 def template_rows(counts: DataFrame, least: int, min_x: int, max_x: int, min_y: int, max_y: int) -> DataFrame:
-    """(y, value): mask rows of an inclusive box: + for both gradients, | and - for one, a space for none."""
-    cell = F.when((F.col("h") >= least) & (F.col("v") >= least), "+").when(F.col("h") >= least, "|").when(F.col("v") >= least, "-").otherwise(" ")
+    """(y, value): mask rows of an inclusive box: + for both gradients, | for v alone, - for h alone, a space for none."""
+    cell = F.when((F.col("h") >= least) & (F.col("v") >= least), "+").when(F.col("v") >= least, "|").when(F.col("h") >= least, "-").otherwise(" ")
     spark = counts.sparkSession
     grid = spark.range(min_y, max_y + 1).select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(min_x), F.lit(max_x))).alias("x"))
     full = grid.join(counts, ["x", "y"], "left")

@@ -54,7 +54,7 @@ def silence_from_level(seconds: DataFrame, noise_db: float = -30.0, min_s: float
 
 def iframes(log: DataFrame) -> DataFrame:
     """(rid, times): key frame times in ascending order; lines without a number are left out."""
-    t = log.withColumn("t", F.trim(F.regexp_replace("line", "^.*pts_time[=:]", "")).try_cast("double")).where("t IS NOT NULL")
+    t = log.withColumn("t", F.trim("line").try_cast("double")).where("t IS NOT NULL")
     return t.groupBy("rid").agg(F.sort_array(F.collect_list("t")).alias("times"))
 
 
