@@ -48,6 +48,23 @@ CACHE_WORDS, CACHE_CHARS = 1_500_000, 48
 _kept: dict[str, list[dict[str, bytes]]] = {}
 
 
+def encoded_words(t, words: list[str]) -> Iterator[bytes]:
+    """Each word's ids.  A special token stands between words, so that many are encoded as one text and parted by its id."""
+    special = sorted(a.content for a in t.get_added_tokens_decoder().values())
+    mark = special[0] if special else None
+    for i in range(0, len(words), 2000):
+        part = words[i : i + 2000]
+        if mark is None or any(a in w for w in part if "<" in w for a in special):
+            for e in t.encode_batch_fast(part, add_special_tokens=False):
+                yield struct.pack(f"<{len(e.ids)}I", *e.ids)
+            continue
+        ids = np.array(t.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ids == t.token_to_id(mark))
+        raw = ids.tobytes()
+        for a, b in zip([0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)], strict=True):
+            yield raw[a:b]
+
+
 def token_ids(path: str, cache_words: int = CACHE_WORDS):
     """A function from an Arrow array of texts to each text's ids (uint32, little-endian bytes).
 
@@ -68,17 +85,14 @@ def token_ids(path: str, cache_words: int = CACHE_WORDS):
         words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         known, old = kept
         new = []
-        for w in words:
-            if w not in known:
-                if (found := old.get(w)) is None:
-                    new.append(w)
-                else:
-                    known[w] = found
+        for w in [w for w in words if w not in known]:
+            if (found := old.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = found
         once: dict[str, bytes] = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(w) <= CACHE_CHARS else once)[w] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
+        for w, found in zip(new, encoded_words(t, new), strict=True):
+            (known if len(w) <= CACHE_CHARS else once)[w] = found
         own = [once[w] if w in once else known[w] for w in words] if once else [known[w] for w in words]
         ids = np.frombuffer(b"".join(own), "<u4")
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
