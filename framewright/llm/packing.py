@@ -39,7 +39,7 @@ STEP = 0.25
 RATE = 0.1
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Text that is split and encoded at a time.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 8_000_000
 
 
 #: Encoded words that a Python worker keeps, over its tasks, and the longest that it keeps.  They are kept in two
@@ -110,35 +110,45 @@ def token_ids(path: str, cache_words: int = CACHE_WORDS):
     return encode
 
 
-def _in_parts(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of some BATCH_BYTES."""
-    sizes = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < len(texts):
-        before = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, "right")))
-        yield texts.slice(start, end - start)
-        start = end
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Document ids and texts, some BATCH_BYTES of text at a time: the more at once, the fewer words are looked up twice."""
+    held: list[pa.RecordBatch] = []
+
+    def parts() -> Iterator[tuple[list, pa.Array]]:
+        docs = [d for b in held for d in b.column("doc_id").to_pylist()]
+        texts = pa.concat_arrays([b.column("text") for b in held])
+        sizes = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(texts):
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, "right")))
+            yield docs[start:end], texts.slice(start, end - start)
+            start = end
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.column("text").nbytes for b in held) >= BATCH_BYTES:
+            yield from parts()
+            held.clear()
+    if held:
+        yield from parts()
 
 
 def _cut(path: str, capacity: int, with_ids: bool, cache_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = token_ids(path, cache_words)
-        for batch in batches:
-            docs = iter(batch.column("doc_id").to_pylist())
-            for part in _in_parts(batch.column("text")):
-                rows: list[list] = [[], [], [], [], [], []]
-                for ids in encode(part):
-                    doc = next(docs)
-                    a = np.frombuffer(ids + END_ID, "<u4")
-                    for k, start in enumerate(range(0, len(a), capacity)):
-                        own = a[start : start + capacity]
-                        for column, v in zip(rows, (doc, k, start, len(own), zlib.crc32(own.tobytes()), own.tobytes() if with_ids else None), strict=True):
-                            column.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                n = 6 if with_ids else 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows[:n], kinds[:n], strict=True)], names=names[:n])
+        for docs, texts in _in_parts(batches):
+            rows: list[list] = [[], [], [], [], [], []]
+            for doc, ids in zip(docs, encode(texts), strict=True):
+                a = ids + END_ID
+                for k, start in enumerate(range(0, len(a) // 4, capacity)):
+                    own = a[4 * start : 4 * (start + capacity)]
+                    for column, v in zip(rows, (doc, k, start, len(own) // 4, zlib.crc32(own), own if with_ids else None), strict=True):
+                        column.append(v)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+            n = 6 if with_ids else 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows[:n], kinds[:n], strict=True)], names=names[:n])
 
     return run
 
