@@ -110,8 +110,8 @@ def token_ids(path: str, cache_words: int = CACHE_WORDS):
     return encode
 
 
-def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
-    """Document ids and texts, some BATCH_BYTES of text at a time: the more at once, the fewer words are looked up twice."""
+def _in_parts(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[tuple[list, pa.Array]]:
+    """Document ids and texts, some part_bytes of text at a time: the more at once, the fewer words are looked up twice."""
     held: list[pa.RecordBatch] = []
 
     def parts() -> Iterator[tuple[list, pa.Array]]:
@@ -121,23 +121,23 @@ def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Arra
         start = 0
         while start < len(texts):
             before = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, "right")))
+            end = max(start + 1, int(np.searchsorted(sizes, before + part_bytes, "right")))
             yield docs[start:end], texts.slice(start, end - start)
             start = end
 
     for batch in batches:
         held.append(batch)
-        if sum(b.column("text").nbytes for b in held) >= BATCH_BYTES:
+        if sum(b.column("text").nbytes for b in held) >= part_bytes:
             yield from parts()
             held.clear()
     if held:
         yield from parts()
 
 
-def _cut(path: str, capacity: int, with_ids: bool, cache_words: int):
+def _cut(path: str, capacity: int, with_ids: bool, cache_words: int, part_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = token_ids(path, cache_words)
-        for docs, texts in _in_parts(batches):
+        for docs, texts in _in_parts(batches, part_bytes):
             rows: list[list] = [[], [], [], [], [], []]
             for doc, ids in zip(docs, encode(texts), strict=True):
                 a = ids + END_ID
@@ -153,13 +153,13 @@ def _cut(path: str, capacity: int, with_ids: bool, cache_words: int):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, cache_words: int = CACHE_WORDS, part_bytes: int = BATCH_BYTES) -> DataFrame:
     """Every document's tokens and the closing id, cut where longer than capacity; with_ids adds the ids (uint32, little-endian).
 
-    cache_words trades a worker's memory (about 200 bytes a word) for time; the result does not depend on it.
+    cache_words (about 200 bytes each) and part_bytes trade a worker's memory for time; the result does not depend on them.
     """
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text").alias("text")).mapInArrow(
-        _cut(tokenizer, capacity, with_ids, cache_words), PIECES + (", ids binary" if with_ids else "")
+        _cut(tokenizer, capacity, with_ids, cache_words, part_bytes), PIECES + (", ids binary" if with_ids else "")
     )
 
 
@@ -326,9 +326,9 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = ROUNDS, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = ROUNDS, cache_words: int = CACHE_WORDS, part_bytes: int = BATCH_BYTES) -> DataFrame:
     """Pieces of all docs with sequence_id and offset.  Tokens are counted once, in one pass over the texts."""
-    return packed(stored(pieces(docs, tokenizer, capacity, cache_words=cache_words), "pieces"), capacity, rounds)
+    return packed(stored(pieces(docs, tokenizer, capacity, cache_words=cache_words, part_bytes=part_bytes), "pieces"), capacity, rounds)
 
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
