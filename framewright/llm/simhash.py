@@ -263,13 +263,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs' rows, one of each component: that with the smallest doc_id (a null one last; of equal ids, by text hash).
+    """docs' rows, one of each component: that with the smallest doc_id (a null one last; of equal ids, by text hash)."""
+    return first_rows(docs, near_duplicates(docs, shingle))
+
+
+def first_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """docs' rows, the first of each root; rooted has a row (doc_id, h, root) for each of them.
 
     A row is known by its doc_id and text, so rows that share an id, or have none, are judged one by one.  Only the keys
     of rows that go are joined to the documents, so the join has no row for a document that stays.
     """
     me = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
-    found = stored(near_duplicates(docs, shingle).select("root", me.alias("me")), "components")
+    found = stored(rooted.select("root", me.alias("me")), "components")
     first = stored(found.groupBy("root").agg(F.min("me").alias("first")), "representatives")
     marked = found.join(first, "root")
     key = lambda df: df.select(key_of("me.doc_id").alias("_id"), F.col("me.h").alias("_h"))

@@ -281,6 +281,34 @@ def test_representatives_of_shared_and_missing_ids(spark, prose):
     assert sorted(((r.doc_id, r.text) for r in simhash.representatives(df).collect()), key=str) == sorted([(1, a), (5, b + " "), (5, c), (None, None)], key=str)
 
 
+def grams_by_hand(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} if len(ws) >= 5 else {tuple(ws)} if ws else set()
+
+
+def test_pipeline_near_duplicates(spark, prose):
+    """The stage links at 5-word Jaccard 0.8, edits that SimHash's 2 bits miss included."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    texts = [prose(200) for _ in range(12)] + [None, "", "a b", "A  b"]
+    for t in texts[:12]:
+        for edits in (1, 2, 3, 4, 6, 8):
+            ws = t.split()
+            for at in rng.sample(range(len(ws)), edits):
+                ws[at] = "zz"
+            texts.append(" ".join(ws))
+    sets = [grams_by_hand(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA), "")
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(root))
+
+
 # ---- 8
 
 
