@@ -9,7 +9,8 @@ number of distinct lines a page divided by ``ratio``, so the array kept for a ho
 broadcast where their measured size allows it; else the documents are joined by host, with adaptive skew splitting.
 
 Nulls and ties: a null text stays null; a null host belongs to no site and keeps all its lines; blank lines are never
-boilerplate; a line repeated in a page counts once; repeated rows are pages of their own.
+boilerplate; a line repeated in a page counts once; repeated rows are pages of their own, but with ``copies`` false equal
+texts of a host are one page, so that copies of a page are no evidence of boilerplate.
 """
 
 from __future__ import annotations
@@ -35,13 +36,14 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), line_key)
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """(host, lines): hashes of each host's boilerplate lines, for hosts that have any."""
-    pages = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("_host"), F.col(text).alias("_text"))
+    pages = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("_host"), F.array_distinct(line_keys(F.col(text))).alias("_keys"), F.xxhash64(text).alias("_h"))
+    if not copies:
+        pages = pages.dropDuplicates(["_host", "_h"])
     totals = pages.groupBy("_host").agg(F.count("*").alias("_pages"))
     seen = (
-        pages.where(F.col("_text").isNotNull())
-        .select("_host", F.explode(F.array_distinct(line_keys(F.col("_text")))).alias("_line"))
+        pages.select("_host", F.explode("_keys").alias("_line"))
         .where("_line <> 0")
         .groupBy("_host", "_line")
         .agg(F.count("*").alias("_n"))
@@ -55,9 +57,9 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     )
 
 
-def deduped(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def deduped(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """docs with boilerplate lines cut from ``text``, and n_lines, n_dropped."""
-    known = stored(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
+    known = stored(boilerplate(docs, host, text, ratio, min_pages, copies), "boilerplate")
     size = known.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0)).alias("n")).first()["n"]
     known = F.broadcast(known) if size <= BROADCAST_HASHES else known
     lines = F.split(F.col(text), "\n", -1)

@@ -49,6 +49,17 @@ def test_lines_edges(awkward, nothing):
     assert line_dedup.deduped(nothing).count() == 0
 
 
+def test_pipeline_lines_of_copies(spark, prose):
+    """Copies of one page are no evidence of boilerplate, lines of five different pages are."""
+    import corpus_pipeline
+
+    page = "\n".join(prose(9) for _ in range(3))
+    rows = [row(i, page) for i in range(6)] + [row(10 + i, prose(9) + "\nsubscribe now") for i in range(5)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert all(out[i] == page for i in range(6))
+    assert all(out[10 + i] == rows[6 + i][1].split("\n")[0] for i in range(5))
+
+
 # ---- 2
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a:b}</style><script>var x="</p><p>no</p>";</script></head><body>
