@@ -473,7 +473,7 @@ def a7(spark, d):
 @query("a12_fit_head")
 def a12(spark, d):
     f = _read(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"), (F.col("label") < 3).cast("int").alias("label"), F.lit(1.0).alias("weight"))
-    m = M.fit_head(f, max_iter=100)
+    m = M.fit_head(f)
     return spark.createDataFrame([(i, float(c)) for i, c in enumerate([*m.coefficients, m.intercept])], "i int, w double")
 
 

@@ -41,3 +41,10 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_head_is_fitted_with_the_operators_iterations(spark, monkeypatch):
+    seen, fit = {}, signal_queries.M.fit_head
+    monkeypatch.setattr(signal_queries.M, "fit_head", lambda f, **more: seen.update(more) or fit(f, **more))
+    assert QUERIES["a12_fit_head"](spark, SF).count() > 0
+    assert seen.get("max_iter", 2000) == 2000
