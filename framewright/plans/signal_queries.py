@@ -213,6 +213,16 @@ def slug_b(spark, d):
     return _read(spark, d, "documents").select("doc_id", X.plain_slug(F.substring("text", 1, 80)).alias("slug"))
 
 
+@query("slug_a_whole", "SELECT doc_id, " + SLUG.format("replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')") + " AS slug FROM documents")
+def slug_a_whole(spark, d):
+    return _read(spark, d, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
+
+
+@query("slug_b_whole", "SELECT doc_id, " + SLUG.format("lower(text)") + " AS slug FROM documents")
+def slug_b_whole(spark, d):
+    return _read(spark, d, "documents").select("doc_id", X.plain_slug(F.col("text")).alias("slug"))
+
+
 # ---- labels and evaluation
 
 T, PR = runs_sql("t", "truth"), runs_sql("p", "pred")

@@ -48,3 +48,8 @@ def test_head_is_fitted_with_the_operators_iterations(spark, monkeypatch):
     monkeypatch.setattr(signal_queries.M, "fit_head", lambda f, **more: seen.update(more) or fit(f, **more))
     assert QUERIES["a12_fit_head"](spark, SF).count() > 0
     assert seen.get("max_iter", 2000) == 2000
+
+
+@pytest.mark.parametrize("name", ["slug_a_whole", "slug_b_whole"])
+def test_slugs_of_whole_texts(spark, name):
+    assert max(len(r.slug or "") for r in QUERIES[name](spark, SF).collect()) > 1000
