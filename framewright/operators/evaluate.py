@@ -64,6 +64,13 @@ def zipped(truth: DataFrame, other: DataFrame) -> DataFrame:
     return num(truth).join(b, ["rid", "block_no", "_n"]).select("rid", F.col("block_no").cast("bigint").alias("block_no"), (F.col("start_s") - F.col("b_start")).alias("d_start"), (F.col("end_s") - F.col("b_end")).alias("d_end"))
 
 
+def zipped_or_counts(truth: DataFrame, other: DataFrame) -> DataFrame:
+    """zipped(), and for recordings whose counts differ one row of block 0 without differences: (.., n_truth, n_other)."""
+    n = lambda df, name: df.groupBy("rid").agg(F.count("*").alias(name))
+    counts = n(truth, "n_truth").join(n(other, "n_other"), "rid", "full").fillna(0, ["n_truth", "n_other"])
+    return counts.join(zipped(truth, other), "rid", "left").select("rid", F.coalesce("block_no", F.lit(0).cast("bigint")).alias("block_no"), "d_start", "d_end", "n_truth", "n_other")
+
+
 def gate(now: DataFrame, history: DataFrame, max_iou_drop: float = 0.05, max_acc_drop: float = 0.03) -> DataFrame:
     """deploy and why: against the last deployed run of the history (one row or none)."""
     last = history.where("deployed").orderBy(F.desc("ts")).limit(1).select(*(F.col(c).alias(f"_{c}") for c in ("iou", "acc", "dim", "test_size")), F.lit(True).alias("_has"))

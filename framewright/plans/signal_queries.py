@@ -301,6 +301,11 @@ def j13(spark, d):
     return V.zipped(truth(spark, d).where("start_s < 100"), truth(spark, d, "pred").where("start_s < 100"))
 
 
+@query("j13_zip_compare_whole", sql(FRAMES, T, PR, "a AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY start_s, end_s) AS k, count(*) OVER (PARTITION BY rid) AS n FROM t)", "b AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY start_s, end_s) AS k, count(*) OVER (PARTITION BY rid) AS n FROM p)", "c AS (SELECT rid, coalesce(x.n, 0) AS n_truth, coalesce(y.n, 0) AS n_other FROM (SELECT rid, count(*) AS n FROM t GROUP BY rid) x FULL JOIN (SELECT rid, count(*) AS n FROM p GROUP BY rid) y USING (rid))", "z AS (SELECT a.rid, a.k AS block_no, a.start_s - b.start_s AS d_start, a.end_s - b.end_s AS d_end FROM a JOIN b USING (rid, k, n))", select="SELECT rid, coalesce(block_no, 0) AS block_no, d_start, d_end, n_truth, n_other FROM c LEFT JOIN z USING (rid)"))
+def j13_whole(spark, d):
+    return V.zipped_or_counts(truth(spark, d), truth(spark, d, "pred"))
+
+
 @query("a1_mean_logo", sql(FRAMES, select="SELECT rid, round(avg(logo), 9) AS mean_logo FROM frames WHERE event_type <> 'error' GROUP BY rid"))
 def a1(spark, d):
     return frames(spark, d).where("event_type <> 'error'").groupBy("rid").agg(F.round(F.avg("logo"), 9).alias("mean_logo"))

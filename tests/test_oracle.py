@@ -53,3 +53,13 @@ def test_head_is_fitted_with_the_operators_iterations(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["slug_a_whole", "slug_b_whole"])
 def test_slugs_of_whole_texts(spark, name):
     assert max(len(r.slug or "") for r in QUERIES[name](spark, SF).collect()) > 1000
+
+
+def test_all_blocks_are_zipped(spark):
+    from framewright.operators import evaluate
+
+    blocks = lambda *rows: spark.createDataFrame(rows, "rid string, start_s double, end_s double")
+    truth = blocks(("a", 10.0, 20.0), ("a", 500.0, 520.0), ("b", 5.0, 9.0), ("b", 300.0, 310.0), ("c", 1.0, 2.0))
+    other = blocks(("a", 11.0, 20.0), ("a", 498.0, 521.0), ("b", 5.0, 9.0))
+    got = {tuple(r) for r in evaluate.zipped_or_counts(truth, other).collect()}
+    assert got == {("a", 1, -1.0, 0.0, 2, 2), ("a", 2, 2.0, -1.0, 2, 2), ("b", 0, None, None, 2, 1), ("c", 0, None, None, 1, 0)}
