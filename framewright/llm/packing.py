@@ -193,7 +193,7 @@ def best_configuration(price: np.ndarray, lengths: np.ndarray, count: np.ndarray
 
 
 def fractional(hist: dict[int, int], capacity: int, rounds: int) -> list[tuple[Counter, float]]:
-    """Configurations and how often to use each, by multiplicative weights; covers every length's count."""
+    """Configurations and how often to use each, by multiplicative weights; what the rounds leave is best-fit's."""
     lengths = np.array(sorted(hist, reverse=True))
     count = np.array([hist[int(n)] for n in lengths])
     # A price starts as a length's share of a sequence, longer ones a little dearer, as they are harder to place.
