@@ -1,15 +1,20 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page becomes flat blocks of text, one for each stretch between block-level tags.  A block's features are its word
-count and link density, those of the blocks before and after it, and what encloses it (an article; page furniture such
-as menus, forms or comments).  A decision tree grown here by Gini impurity on the small labelled table ``LABELLED``
-says which blocks are main text.
-
-Scripts, styles and other raw text never become blocks.  Character references are decoded, white space in a block
-becomes one space, and main blocks are joined by a blank line; nothing else is dropped, and no length is capped.  Broken
-markup (unclosed, cut off or wrongly nested tags) is read to the end of the page.
-
-Nulls and ties: a null or empty html gives an empty text; repeated rows and null ids give a row each.
+count and link density, those of the blocks before and after it, its depth, and what it stands in: page furniture by
+element (menu, footer, form), an article or not, a container whose class or id says what it is, a heading.  A decision
+tree grown by Gini impurity on the labelled table of ``html_labelled`` says which blocks are main text; labels come from
+that table alone, never from a page.  An article's blocks are told by what encloses them; pages without one, linked
+paragraphs, short lines and bylines are told by the neighbours.
+
+Tags are read as HTML reads them: a quote opens a value only after ``=``, so stray quotes lose nothing.  A quote or raw
+text element that never closes is read on from its tag.  Scripts, styles and other raw text never become blocks.
+Character references are decoded, white space in a block becomes one space, and main blocks are joined by a blank line;
+nothing else is dropped, and no length is capped.  Reading takes time in proportion to the page, however long it is
+and however deep or broken its nesting.
+
+Nulls and ties: a null or empty html gives an empty text; repeated rows and null ids give a row each; an empty table
+gives an empty table.  Columns beside page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,56 +22,92 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from framewright.llm.html_labelled import PAGES
+
 # Names of HTML elements by their part in a page.
-RAW = {"script", "style", "noscript", "template", "svg", "math", "canvas", "iframe", "object", "textarea", "title", "select", "option", "datalist", "button", "audio", "video"}
+RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
+SKIPPED = {"noscript", "template", "svg", "math", "canvas", "object", "select", "option", "datalist", "button", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "search"}
+SECTIONS = FURNITURE | {"article", "main", "section", "table", "td", "th", "body", "html"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: An end tag of these does not close the section that it stands in.
+WITHIN = {"p", "li", "dt", "dd", *HEADINGS}
+#: A start tag of these ends one of its kind that is still open.
+ENDS_OWN = {"p", "li", "dt", "dd", "tr", "td", "th"}
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
+#: What a class or id calls parts of a page that are not its article, and words that turn such a name around.
 NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "teaser", "toc", "toolbar", "widget"}
-ARTICLE = {"article", "main"}
-
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-
-
-@dataclass
-class Block:
-    """A flat stretch of text and what encloses it."""
-
-    text: str
-    words: int
-    linked: int
-    furniture: bool
-    article: bool
-    label: int | None = None
+TURNED = {"no", "not", "with", "without", "has", "is", "hide", "hidden", "layout", "page", "body", "wrapper"}
 
+TAG = re.compile(
+    r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|/(?=[^a-zA-Z])[^>]*+(?:>|\Z)|"""
+    r"""(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++))?+)*+)(?:>|\Z))""",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"""(?:[\s/]++|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^\s>]++)))?+)""", re.S)
+NONE: frozenset[str] = frozenset()
+NAME_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
-@dataclass
-class _Open:
-    tag: str
-    furniture: bool
-    article: bool
-    label: int | None
-
+#: Where a block stands: in furniture by its element; beside the page's article; in a page without one; in the article.
+IN_FURNITURE, BESIDE, NO_ARTICLE, IN_ARTICLE = 0, 1, 2, 3
 
-@dataclass
-class _Reader:
-    blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=list)
-    held: list[str] = field(default_factory=list)
-    linked: int = 0
-    links: int = 0
 
-    def text(self, s: str) -> None:
+class Block:
+    """A flat stretch of text, where it starts in the page, and what it stands in."""
+
+    __slots__ = ("at", "depth", "element", "heading", "linked", "named", "region", "text", "words")
+
+    def __init__(self, text: str, words: int, linked: int, element: int, depth: int, at: int):
+        self.text, self.words, self.linked, self.element, self.depth, self.at = text, words, linked, element, depth, at
+        self.region, self.named, self.heading = NO_ARTICLE, False, False
+
+
+def attributes_of(s: str) -> dict[str, str]:
+    """A tag's attributes, the first of equal names."""
+    found: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(s):
+        if name:
+            found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def names_part(value: str) -> frozenset[str]:
+    """The words of NAMES that the tokens of a class or id start or end with, but not of turned ones (no-comments)."""
+    out: frozenset[str] = NONE
+    for token in value.split():
+        own = [w.lower() for w in NAME_WORDS.findall(token)]
+        if own and not TURNED & set(own):
+            out |= NAMES.intersection((own[0], own[-1]))
+    return out
+
+
+class Reader:
+    """One pass over a page: its elements in page order, and its text blocks."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        # Of each element: parent, tag, role, names, and whether its own end tag closed it.
+        self.parent, self.tags, self.roles, self.names, self.closed = [-1], [""], [""], [NONE], [True]
+        self.stack: list[int] = [0]
+        self.open_at: dict[str, list[int]] = {}
+        self.sections: list[int] = []
+        self.articles: list[int] = []
+        self.held: list[str] = []
+        self.start = 0
+        self.linked = 0
+        self.links = False
+
+    def text(self, s: str, at: int) -> None:
         if s:
+            if not self.held:
+                self.start = at
             self.held.append(s)
             if self.links:
                 self.linked += len(html.unescape(s).split())
@@ -75,150 +116,199 @@ class _Reader:
         if self.held:
             text = " ".join(html.unescape("".join(self.held)).split())
             if text:
-                top = self.stack[-1] if self.stack else _Open("", False, False, None)
-                n = len(text.split())
-                self.blocks.append(Block(text, n, min(self.linked, n), top.furniture, top.article, top.label))
+                n = text.count(" ") + 1
+                self.blocks.append(Block(text, n, min(self.linked, n), self.stack[-1], len(self.stack), self.start))
         self.held, self.linked = [], 0
 
-    def open(self, tag: str, attributes: str) -> None:
+    def _pop_to(self, place: int) -> None:
+        stack, sections, articles = self.stack, self.sections, self.articles
+        while len(stack) > place:
+            self.open_at[self.tags[stack.pop()]].pop()
+        while sections and sections[-1] >= place:
+            sections.pop()
+        while articles and articles[-1] >= place:
+            articles.pop()
+
+    def open(self, tag: str, attributes: str, at: int) -> None:
         if tag in INLINE:
             if tag == "a":
-                self.links = 1
+                self.links = True
             elif tag == "br":
-                self.text(" ")
-            if tag in VOID or tag == "a" or not attributes:
-                return
-        else:
-            self.flush()
-            self.links = 0
-            if tag == "p" and self.stack and self.stack[-1].tag == "p":
-                self.stack.pop()
-        if tag in VOID or attributes.endswith("/"):
+                self.text(" ", at)
+            return  # what an inline element is called never parts a sentence
+        self.flush()
+        self.links = False
+        if tag in ENDS_OWN and self.tags[self.stack[-1]] == tag or self.tags[self.stack[-1]] == "p":
+            self._pop_to(len(self.stack) - 1)
+        if tag in VOID or (tag in SKIPPED and attributes.endswith("/")):
             return
-        top = self.stack[-1] if self.stack else _Open("", False, False, None)
-        found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
-        names = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
-        furniture = tag in FURNITURE or found.get("role", "").lower() in ROLES or bool(names & NAMES) and tag not in ("body", "html", *ARTICLE)
-        if furniture and tag in INLINE:
-            self.flush()
-        label = int(found["data-y"]) if found.get("data-y", "").isdigit() else top.label
-        # A heading group inside an article is part of it, unlike the header of a page.
-        if tag == "header" and top.article:
-            furniture = bool(names & (NAMES - {"header"}))
-        if tag not in INLINE or furniture:
-            self.stack.append(_Open(tag, top.furniture or furniture, top.article or tag in ARTICLE, label))
+        self.parent.append(self.stack[-1])
+        self.tags.append(tag)
+        found = attributes_of(attributes) if attributes else None
+        self.roles.append(found.get("role", "").strip().lower() if found else "")
+        self.names.append(names_part(found.get("class", "")) | names_part(found.get("id", "")) if found else NONE)
+        self.closed.append(False)
+        self.open_at.setdefault(tag, []).append(len(self.stack))
+        if tag in SECTIONS:
+            self.sections.append(len(self.stack))
+            if tag in ("article", "main"):
+                self.articles.append(len(self.stack))
+        self.stack.append(len(self.tags) - 1)
 
     def close(self, tag: str) -> None:
-        if tag == "a":
-            self.links = 0
+        if tag in INLINE:
+            if tag == "a":
+                self.links = False
             return
-        if tag not in INLINE:
-            self.flush()
-            self.links = 0
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag), None)
-        # A stray end tag must not close what it stands in: only blocks of text close across others.
-        if at is not None and not (tag in ("p", "li", "span") and any(o.tag in FURNITURE | ARTICLE for o in self.stack[at + 1 :])):
-            if tag in INLINE:
-                self.flush()
-            del self.stack[at:]
-
-
-def blocks(page: str) -> list[Block]:
-    """The flat text blocks of a page, in page order."""
-    r, at, n = _Reader(), 0, len(page)
+        self.flush()
+        self.links = False
+        at = self.open_at.get(tag)
+        # A stray end tag closes nothing; one of a paragraph or a list's line only within its section.
+        if at and not (tag in WITHIN and self.sections and at[-1] < self.sections[-1]):
+            place = at[-1]
+            # A stray end of a plain container must not end the article that it stands in.
+            if tag in ("article", "main", "body", "html") or not self.articles or self.articles[-1] <= place:
+                self.closed[self.stack[place]] = True
+                self._pop_to(place)
+
+
+def read(page: str) -> Reader:
+    r, at, n = Reader(), 0, len(page)
+    unclosed: set[str] = set()
     while at < n:
         m = TAG.search(page, at)
         if m is None:
-            r.text(page[at:])
+            r.text(page[at:], at)
             break
-        r.text(page[at : m.start()])
+        r.text(page[at : m.start()], at)
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
-        if tag in RAW and not m[1]:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if tag != "svg" and tag != "math" and end is None and tag not in ("script", "style", "title", "textarea"):
-                continue  # never closed: read on rather than lose the page
+        if m[1]:
+            r.close(tag)
+        elif tag in RAW:
+            end = None if tag in unclosed else re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
+            if end is None and tag not in ("script", "style"):
+                unclosed.add(tag)  # never closed: read on rather than lose the page
+                continue
             r.flush()
             at = end.end() if end else n
-        elif m[1]:
-            r.close(tag)
         else:
-            r.open(tag, m[3].strip())
+            r.open(tag, m[3], m.start())
     r.flush()
-    return r.blocks
+    return r
+
+
+def blocks(page: str) -> list[Block]:
+    """The flat text blocks of a page, in page order, without those of buttons, drawings and the like."""
+    r = read(page)
+    n = len(r.tags)
+    # What elements hold, from the inside out: an element comes after its parent.
+    holds_article, holds_headline = [False] * n, [False] * n
+    words = [0] * n
+    for b in r.blocks:
+        words[b.element] += b.words - b.linked
+    is_main = [r.tags[e] == "main" or r.roles[e] == "main" for e in range(n)]
+    is_article = [r.tags[e] == "article" or r.roles[e] == "article" for e in range(n)]
+    for e in range(n - 1, 0, -1):
+        up = r.parent[e]
+        words[up] += words[e]
+        if holds_article[e] or is_article[e]:
+            holds_article[up] = True
+        if holds_headline[e] or r.tags[e] == "h1" or is_main[e] or is_article[e]:
+            holds_headline[up] = True
+    # What elements stand in, from the outside in.
+    skipped, furniture, named, inside, beside = [False] * n, [False] * n, [False] * n, [False] * n, [False] * n
+    some = False
+    for e in range(1, n):
+        up, tag = r.parent[e], r.tags[e]
+        skipped[e] = skipped[up] or (tag in SKIPPED and r.closed[e])
+        # The header of an article is part of it, unlike that of a page.
+        own = (tag in FURNITURE or r.roles[e] in ROLES) and not (inside[up] and (tag == "header" or r.roles[e] == "banner"))
+        # A form or a dialog around the whole article, as some page builders have it, is no furniture.
+        furniture[e] = furniture[up] or (own and not holds_article[e])
+        own_names = r.names[e] - {"header", "banner", "masthead"} if inside[up] else r.names[e]
+        # A container's name tells nothing where it holds the article, the headline or nearly all of the page.
+        named[e] = named[up] or (bool(own_names) and tag not in ("body", "html", "main") and not (holds_headline[e] or words[e] * 5 > words[0] * 4))
+        inside[e] = inside[up] or ((is_article[e] or (is_main[e] and not holds_article[e])) and not furniture[e] and not named[e])
+        beside[e] = beside[up] or (is_main[e] and holds_article[e])
+        some = some or inside[e]
+    out = []
+    for b in r.blocks:
+        e = b.element
+        if skipped[e]:
+            continue
+        b.named, b.heading = named[e], r.tags[e] in HEADINGS
+        b.region = IN_FURNITURE if furniture[e] else IN_ARTICLE if inside[e] else NO_ARTICLE if beside[e] or not some else BESIDE
+        out.append(b)
+    return out
+
+
+#: Names of the features, in order.
+FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "depth", "region", "named", "heading")
 
 
-def features(found: list[Block]) -> np.ndarray:
-    """A row a block: words and link density of it, of the one before and of the one after; furniture; article."""
-    own = np.array([(b.words, b.linked / b.words) for b in found], float).reshape(-1, 2)
-    none = np.zeros((1, 2))
-    around = np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none])]) if len(own) else np.zeros((0, 6))
-    return np.hstack([around, np.array([(b.furniture, b.article) for b in found], float).reshape(-1, 2)])
+def features(found: list[Block]) -> list[tuple[float, ...]]:
+    """A row a block; beyond the page's ends stands a block of no words."""
+    own = [(0.0, 0.0), *((float(b.words), b.linked / b.words) for b in found), (0.0, 0.0)]
+    return [(*own[i + 1], *own[i], *own[i + 2], float(b.depth), float(b.region), float(b.named), float(b.heading)) for i, b in enumerate(found)]
 
 
 # ---- the tree
 
-#: The labelled table: pages whose blocks carry data-y (1 main text, 0 not).  Small and fixed.
-LABELLED = (
-    '<body><nav data-y="0"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul></nav>'
-    '<div class="ad" data-y="0">Buy two pairs of shoes and get a third pair for half the price today.</div>'
-    '<article data-y="1"><h1>River returns to its old bed</h1><p>After twelve years of work the river runs where it ran before the mill was built, and the fields along it are wet again in spring.</p>'
-    '<p>Nobody complained.</p><p>The town paid for the bridge, the county for the banks, and a society of anglers for the fish, which came by lorry in the night.</p></article>'
-    '<footer data-y="0">(c) The Valley Paper, all rights reserved, printed on paper from the valley.</footer></body>',
-    '<body><header data-y="0">The Daily Example, since 1911, your paper in town</header><div data-y="0"><a href="/1">Politics</a> <a href="/2">Trade</a> <a href="/3">Weather</a></div>'
-    '<div><h2 data-y="1">Bakers ask for earlier opening hours</h2><p data-y="1">The guild of bakers has asked the council to let its shops open at four in the morning, as was the custom until the war and for some years after it.</p>'
-    '<p data-y="1">A decision is expected in autumn, when the council meets again after the long summer break, and both sides say that they will accept it.</p></div>'
-    '<div data-y="0"><a href="/r">More on bread</a></div><div class="comments" data-y="0"><p>I have bought my bread there for thirty years and never once found the door closed when I came in the morning.</p><p>Good.</p></div></body>',
-    '<body><div id="cookie" class="notice" data-y="0">We use cookies to measure how our pages are read; by reading on you agree to this use of cookies.</div>'
-    '<main data-y="1"><h1>Notes on moss</h1><p>Moss grows slowly.</p><p>It holds water like a sponge, up to twenty times its weight, and gives it back over days, which is why a wood with moss stays cool.</p><ul><li>Peat moss</li><li>Hair moss, common on <a href="/h">heaths</a></li></ul></main>'
-    '<aside data-y="0"><p>About the author: she walks in woods, writes about what she sees there, and lives with a dog near the sea.</p></aside>'
-    '<form data-y="0">Subscribe to our letter and never miss a piece <label>Your address</label></form></body>',
-    '<body><p data-y="0"><a href="/a">Start</a> | <a href="/b">Contact</a></p><p data-y="1">Four boats left the harbour on Monday in calm weather, and three of them came back before the storm, with full holds and tired crews.</p>'
-    '<p data-y="1">The fourth was found on Wednesday near the cape, its crew safe and well, its engine broken, its nets lost somewhere to the north.</p><p data-y="0"><a href="/i">Imprint</a></p><p data-y="0">Print this page</p></body>',
-    '<body><article data-y="1"><header><h1>On <a href="/k">kites</a></h1></header><p><a href="/k">Kites</a> and <a href="/w">wind</a></p><p>Short.</p><blockquote>Wind is free, said the old man, and let go of the line.</blockquote>'
-    '<div class="comments" data-y="0"><p>Lovely piece about kites, I shall take mine down from the attic and try the hill.</p></div><div class="share" data-y="0"><a href="/x">Share</a></div></article></body>',
-    '<body><article data-y="1"><h1>Snow</h1><p>It fell all night and lay a yard deep on the pass, so that the mail came three days late.</p><p>Nobody minded.',
-    '<body><p data-y="0">Menu</p><p data-y="0">Print this page</p><h1 data-y="1">The old clock is to be mended at last</h1><p data-y="1">For nine years the clock over the gate has shown ten to four, and the town has grown used to being early for its tea.</p>'
-    '<p data-y="0">Send to a friend</p><p data-y="1">A clockmaker from the next valley has offered to mend it for nothing, if he may put his name on the back of the dial.</p></body>',
-    '<body><article data-y="1"><p>Tea.</p></article></body>',
-    '<body><p data-y="0">Back to top</p><div data-y="1">A short walk leads from the station over the brook to the ruin, which is open all year and costs nothing to see.</div></body>',
-    '<body><ul data-y="0"><li><a href="/1">Ten walks to take before the first snow falls in the hills</a></li><li><a href="/2">What the new timetable means for those who live by the lake</a></li></ul><p data-y="1">The ferry stops at nine in winter and the last bus meets it, unless fog holds up the one or the other (see the <a href="/t">timetable</a>).</p>'
-    '<p data-y="0"><a href="/3">Read also: how the lake got its name and lost it again</a></p></body>',
-    '<body><p data-y="1">He who sows late must not complain of the frost, say the farmers here, and they sow early.</p><p data-y="0">Top of page</p></body>',
-)
-DEPTH = 6
+DEPTH = 10
+
+
+def impurity(ones: float, n: float) -> float:
+    return ones * (1 - ones / n) if n else 0.0
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH):
+def grow(x: list[tuple[float, ...]], y: list[int], depth: int = DEPTH):
     """A tree as nested tuples (feature, threshold, below, above); a leaf is the share of main blocks."""
-    share = float(y.mean()) if len(y) else 0.0
+    share = sum(y) / len(y) if y else 0.0
     if depth == 0 or share in (0.0, 1.0):
         return share
     best = None
-    for f in (6, 7, 1, 0, 3, 5, 2, 4):  # of equal splits, what encloses a block comes first
-        values = np.unique(x[:, f])
-        for cut in (values[1:] + values[:-1]) / 2:
-            left = x[:, f] <= cut
-            gini = sum(len(p) * p.mean() * (1 - p.mean()) for p in (y[left], y[~left]))
+    for f in range(len(x[0])):
+        order = sorted(range(len(x)), key=lambda i: x[i][f])
+        ones, total = 0, sum(y)
+        for k in range(1, len(order)):
+            ones += y[order[k - 1]]
+            a, b = x[order[k - 1]][f], x[order[k]][f]
+            if a == b:
+                continue
+            gini = impurity(ones, k) + impurity(total - ones, len(order) - k)
             if best is None or gini < best[0] - 1e-9:
-                best = (gini, f, float(cut), left)
+                best = (gini, f, (a + b) / 2)
     if best is None:
         return share
-    _, f, cut, left = best
-    return f, cut, grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
+    _, f, cut = best
+    sides = [[i for i in range(len(x)) if (x[i][f] <= cut) == below] for below in (True, False)]
+    return f, cut, *(grow([x[i] for i in s], [y[i] for i in s], depth - 1) for s in sides)
+
+
+def labelled() -> tuple[list[tuple[float, ...]], list[int]]:
+    """Features and labels of the labelled table's blocks: a block has the label of the piece that it starts in."""
+    x: list[tuple[float, ...]] = []
+    y: list[int] = []
+    for pieces in PAGES:
+        ends, at = [], 0
+        for _, markup in pieces:
+            at += len(markup)
+            ends.append(at)
+        found = blocks("".join(markup for _, markup in pieces))
+        x += features(found)
+        y += [pieces[next(i for i, end in enumerate(ends) if b.at < end)][0] for b in found]
+    return x, y
 
 
 @cache
 def tree():
-    found = [blocks(page) for page in LABELLED]
-    x = np.vstack([features(b) for b in found])
-    y = np.array([b.label or 0 for page in found for b in page], float)
-    return grow(x, y)
+    return grow(*labelled())
 
 
-def is_main(node, row: list[float]) -> bool:
+def is_main(node, row: tuple[float, ...]) -> bool:
     while isinstance(node, tuple):
         f, cut, below, above = node
         node = below if row[f] <= cut else above
@@ -229,7 +319,7 @@ def main_text(page: str | None) -> str:
     """The main text of a page, blocks joined by a blank line."""
     found = blocks(page or "")
     own = tree()
-    return "\n\n".join(b.text for b, row in zip(found, features(found).tolist(), strict=True) if is_main(own, row))
+    return "\n\n".join(b.text for b, row in zip(found, features(found), strict=True) if is_main(own, row))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
