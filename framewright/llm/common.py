@@ -34,9 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share.
+
+    It is never a guess: without spark.checkpoint.dir or a checkpoint folder of the context, a job on a cluster is
+    refused.  In local mode, where driver and executors are one process, a temporary folder is such a folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='framewright-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -61,6 +67,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def clear_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each made longer until no taken one equals it (Spark's names have no case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame, *but: str) -> list[Column]:
+    """df's columns, whatever their names, without those named."""
+    left_out = {c.lower() for c in but}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in left_out]
+
+
 def key_of(column: str | Column) -> Column:
     """A document id that equals itself in joins even when null."""
     c = F.col(column) if isinstance(column, str) else column

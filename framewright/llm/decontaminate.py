@@ -1,247 +1,296 @@
 """Benchmark decontamination by winnowing.
 
-A window is 13 consecutive words of an item, or the whole of a shorter item.  Of every 9 consecutive 5-grams, the one
-with the smallest hash is a fingerprint, so any 13 words that a document shares with an item hold a fingerprint of
-both.  Training and test fingerprints are joined, and each hit is extended to both sides word by word; a run of 13
-equal words or more marks its words as hit.  Items below 13 words, which that guarantee does not reach, are matched
-whole by a table of their word sequences.
-
-The benchmark is read in blocks of ``BLOCK_BYTES`` of text at most.  Each block's index is broadcast (so its size is
-bounded) and held against all documents; a usual benchmark is one block, and then no document is shuffled.  Words
-that no item has get the id 0 and never match.
-
-Nulls and ties: a null text has no words; a document without words has no hits and is clean; an item without words
-has no windows.  Items with equal texts are all reported.  Repeated rows are judged one by one (where there are
-several blocks, rows of equal doc_id and text are joined into one).
+A window is 13 consecutive words of an item, or the whole of a shorter item.  Of the nine 5-grams in 13 words the one
+with the smallest hash (the leftmost of equals) is their fingerprint, so any 13 words that a document shares with an
+item have one fingerprint in both.
+
+1. The benchmark's windows become a table: fingerprint, two hashes of the window, and the set of items that have it.
+2. One scan of the documents takes their fingerprints.  Those that no item has go at once, by a bitmap of ``BITS`` bits
+   that is broadcast; it is as large for any benchmark, and a false hit in it costs a row, not a wrong result.  A
+   fingerprint that stays is extended over the windows that it stands for, and a second bitmap drops windows that no
+   item has.  Items below 13 words, which winnowing does not reach, are met by windows of their own lengths.
+3. The fingerprints left, with their windows, are joined to the benchmark's.  The windows hit, run together, are a
+   text's hit words.
+
+What is joined is a row a (text, window), so an item that repeats a passage, or a passage that very many items have,
+makes no pairs of places; sets of items are joined by a number of theirs.  Texts are known by a 128-bit hash: equal
+texts are judged once, and every row gets the verdict of its text.  Windows are equal where two 64-bit hashes are.
+
+Nulls and ties: a null text has no words; a document without words has no hits and is clean; an item without words has
+no windows.  An item with a null item_id marks the words it shares but has no id to count or list.  Items with equal texts
+are all reported; rows of one item_id are one item.  Repeated rows get a row each.  An empty benchmark leaves all
+documents clean; an empty table gives an empty table.  Very long texts are hashed in parts of ``PART`` words.  Columns
+beside doc_id, item_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
-from collections import defaultdict
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import key_of, utf8
+from framewright.llm.common import columns_of, stored, utf8
+from framewright.llm.rolling import prefix_hash, smallest, stretch
 
 WINDOW = 13
 GRAM = 5
-#: 5-grams in a winnowing window: every 13 words have this many.
+#: 5-grams in a window.
 SPAN = WINDOW - GRAM + 1
-BLOCK_BYTES = 16 << 20
+#: Words of a text that are hashed at a time; parts share WINDOW - 1 words.
+PART = 1 << 17
+#: Size of a bitmap: 8 MB.
+BITS = 1 << 26
+#: Rows of the benchmark's tables that may be broadcast, by count; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 #: Bytes that are words ([0-9a-z] and all of UTF-8 beyond ASCII) stay; A-Z become lower case; the rest become spaces.
 TABLE = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
 )
-UNKNOWN = np.uint64(2**64 - 1)
 
 
 def words(text: str | None) -> list[bytes]:
     return utf8(text).translate(TABLE).split()
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def gram_hashes(ids: np.ndarray) -> np.ndarray:
-    """Hash of each 5-gram of word ids; UNKNOWN where a word has the id 0."""
-    n = len(ids) - GRAM + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    x = ids.astype(np.uint64)
-    h = np.zeros(n, np.uint64)
-    known = np.ones(n, bool)
-    for j in range(GRAM):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + x[j : n + j] + np.uint64(j + 1))
-        known &= x[j : n + j] > 0
-    h[h == UNKNOWN] = 0
-    h[~known] = UNKNOWN
-    return h
-
-
-def fingerprints(h: np.ndarray) -> np.ndarray:
-    """Places of the smallest hash of every SPAN consecutive ones (the leftmost of equals)."""
-    if len(h) < SPAN:
-        return np.empty(0, np.int64)
-    at = np.lib.stride_tricks.sliding_window_view(h, SPAN).argmin(axis=1) + np.arange(len(h) - SPAN + 1)
-    at = np.unique(at)
-    return at[h[at] != UNKNOWN]
-
-
-class Index:
-    """The windows of a block of items."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]]):
-        self.vocabulary: dict[bytes, int] = {}
-        self.long: list[tuple[int, np.ndarray]] = []
-        self.short: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
-        at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, ws in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64)
-            if len(ids) < WINDOW:
-                if len(ids):
-                    self.short[len(ids)][tuple(ids.tolist())].append(item)
+class Words:
+    """Some words in a row, with hashes of any run of them."""
+
+    def __init__(self, ws: list[bytes]):
+        self.data = np.frombuffer(b" ".join(ws), np.uint8)
+        sizes = np.fromiter(map(len, ws), np.int64, len(ws))
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.starts = self.ends - sizes
+        self.sums: dict[int, np.ndarray] = {}
+
+    def runs(self, k: int, at: np.ndarray, n: int) -> np.ndarray:
+        """The k-th hash of the n words from each place."""
+        if k not in self.sums:
+            self.sums[k] = prefix_hash(self.data, k)
+        return stretch(self.sums[k], k, self.starts[at], self.ends[at + n - 1])
+
+    def fingerprints(self) -> np.ndarray:
+        """The fingerprint of each window of WINDOW words."""
+        h = self.runs(0, np.arange(len(self.ends) - GRAM + 1), GRAM)
+        low = np.uint64((PART + WINDOW).bit_length())
+        # The place breaks ties, the leftmost first, which depends on the window's own words only.
+        first = smallest((h >> low << low) | np.arange(len(h), dtype=np.uint64), SPAN)
+        return h[(first & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)]
+
+
+def parts(ws: list[bytes], size: int = PART) -> Iterator[tuple[int, Words]]:
+    for start in range(0, max(len(ws) - WINDOW + 1, 1), size):
+        yield start, Words(ws[start : start + size + WINDOW - 1])
+
+
+def _signed(h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64))
+
+
+ITEMS = "item string, n int, g bigint, w1 bigint, w2 bigint"
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text"), strict=True):
+            ws = words(text.as_py())
+            if not ws:
+                continue
+            for _, part in parts(ws):
+                n = min(len(ws), WINDOW)
+                at = np.arange(len(part.ends) - n + 1)
+                w1, w2 = part.runs(0, at, n), part.runs(1, at, n)
+                g = part.fingerprints() if n == WINDOW else w1
+                columns = [pa.array([item] * len(at), pa.string()), pa.array(np.full(len(at), n, np.int32)), *map(_signed, (g, w1, w2))]
+                yield pa.RecordBatch.from_arrays(columns, names=["item", "n", "g", "w1", "w2"])
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """(n, g, w1, w2, items): each window of the benchmark once, with its fingerprint and the sorted ids of its items."""
+    own = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    return own.mapInArrow(_item_windows, ITEMS).groupBy("n", "g", "w1", "w2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def bitmap(df: DataFrame, h: str | Column, bits: int = BITS) -> np.ndarray:
+    """A bitmap of the hashes in a column: ``bits`` bits reach the driver at most, however many rows there are."""
+    slot = (F.col(h) if isinstance(h, str) else h).bitwiseAND(F.lit(bits - 1)) + 1  # bits: 2 ** 15 at least
+    rows = df.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("b")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["b"], np.uint8)
+    return out
+
+
+def among(own: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes' bits are set in a bitmap."""
+    slot = h & np.uint64(len(own) * 8 - 1)
+    return (own[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def hit_windows(ws: list[bytes], lengths: list[int], grams: np.ndarray, windows: np.ndarray, words_at_once: int = PART) -> tuple[np.ndarray, ...]:
+    """(place, n, fingerprint, both hashes) of the windows that the bitmaps do not rule out."""
+    out: list[tuple[np.ndarray, ...]] = []
+    for start, part in parts(ws, words_at_once):
+        size = len(part.ends)
+        for n in lengths:
+            if size < n or (n == WINDOW and size < WINDOW):
                 continue
-            h = gram_hashes(ids)
-            for p in fingerprints(h):
-                at[int(h[p])].append((len(self.long), int(p)))
-            self.long.append((item, ids))
-        self.at = dict(at)
-        self.hashes = np.array(sorted(self.at), np.uint64)
-        self.short = {n: dict(d) for n, d in self.short.items()}
-        self.starts = {n: np.array(sorted({k[0] for k in d}), np.int64) for n, d in self.short.items()}
-
-    def hits(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Runs [start, end) of hit words, and the items that hit."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in ws], np.int64)
-        runs: list[tuple[int, int]] = []
-        items: set[int] = set()
-        if not ids.any():
-            return runs, items
-        for n, table in self.short.items():
-            if len(ids) >= n:
-                for p in np.flatnonzero(np.isin(ids[: len(ids) - n + 1], self.starts[n])):
-                    if found := table.get(tuple(ids[p : p + n].tolist())):
-                        runs.append((int(p), int(p) + n))
-                        items.update(found)
-        h = gram_hashes(ids)
-        at = fingerprints(h)
-        done: dict[tuple[int, int], int] = {}  # the end reached on a diagonal of (item, offset)
-        for p in at[np.isin(h[at], self.hashes)] if len(at) else ():
-            for k, q in self.at[int(h[p])]:
-                item, own = self.long[k]
-                if done.get((k, int(p) - q), -1) > p:
-                    continue
-                a, b = _extended(ids, own, int(p), q)
-                done[k, int(p) - q] = b
-                if b - a >= WINDOW:
-                    runs.append((a, b))
-                    items.add(item)
-        return runs, items
-
-
-def _extended(ids: np.ndarray, own: np.ndarray, p: int, q: int) -> tuple[int, int]:
-    """The longest run of equal words around ids[p] and own[q], as [start, end) in ids."""
-    n = min(p, q)
-    left = ids[p - n : p][::-1] == own[q - n : q][::-1]
-    m = min(len(ids) - p, len(own) - q)
-    right = ids[p : p + m] == own[q : q + m]
-    back = n if left.all() else int(left.argmin())
-    ahead = m if right.all() else int(right.argmin())
-    return p - back, p + ahead
-
-
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """The items, a bounded number of bytes at a time (an item longer than that is a block of its own)."""
-    held: list[tuple[int, list[bytes]]] = []
-    size = 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        held.append((row["item_id"], words(row["text"])))
-        size += len(row["text"] or "")
-        if size >= block_bytes:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-PARTS = "doc_id bigint, h bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>"
-
-
-def _scan(index) -> object:
+            # Windows below WINDOW words that start in the shared words belong to the next part.
+            most = size - n + 1 if start + size == len(ws) else size - WINDOW + 1
+            at = np.arange(most)
+            if n == WINDOW:
+                g = part.fingerprints()
+                at = at[among(grams, g)]
+                g = g[at]
+                w1 = part.runs(0, at, n)
+            else:
+                g = w1 = part.runs(0, at, n)
+            keep = among(windows, w1)
+            if keep.any():
+                at, g, w1 = at[keep], g[keep], w1[keep]
+                out.append((at + start, np.full(len(at), n), g, w1, part.runs(1, at, n)))
+    if not out:
+        return (np.empty(0, np.int64), np.empty(0, np.int64), *(np.empty(0, np.uint64) for _ in range(3)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+SCANNED = "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, hits array<struct<at:int,n:int,g:bigint,w1:bigint,w2:bigint>>"
+
+
+def _scan(shared: Broadcast[Any], lengths: list[int], words_at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
+        grams, windows = shared.value
         for batch in batches:
-            rows = []
-            for doc, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py()
-                ws = words(text)
-                runs, items = own.hits(ws) if ws else ([], set())
-                merged = merge(runs)
-                rows.append((doc, h, len(ws), [a for a, _ in merged], [b for _, b in merged], sorted(items)))
-            yield _batch(rows, [("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+            counts, found, sizes = [], [], [0]
+            for text in batch.column("text"):
+                ws = words(text.as_py())
+                counts.append(len(ws))
+                own = hit_windows(ws, lengths, grams, windows, words_at_once) if ws else None
+                n = 0 if own is None else len(own[0])
+                sizes.append(sizes[-1] + n)
+                if n:
+                    found.append(own)
+            flat = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 2 + [np.empty(0, np.uint64)] * 3
+            structs = pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int32)), pa.array(flat[1].astype(np.int32)), *map(_signed, flat[2:])], names=["at", "n", "g", "w1", "w2"])
+            hits = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), structs)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(counts, pa.int64()), hits], names=["doc_id", "k1", "k2", "n_words", "hits"])
 
     return run
 
 
-def _batch(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+def text_keys() -> list[Column]:
+    """Two hashes that know a text."""
+    return [F.xxhash64("text"), F.xxhash64(F.lit(13), "text")]
 
 
-def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
-    return out
+VERDICTS = "k1 bigint, k2 bigint, n_hit bigint, n_items bigint, items_sha256 string, starts array<int>, ends array<int>"
+NO_ITEMS = hashlib.sha256(b"").hexdigest()
 
 
-VERDICT = "doc_id bigint, h bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, starts array<int>, ends array<int>"
+def runs_of(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows as maximal runs [start, end) of words; runs that touch are one."""
+    order = np.argsort(at, kind="stable")
+    at, ends = at[order], np.maximum.accumulate((at + n)[order])
+    new = np.concatenate(([True], at[1:] > ends[:-1]))
+    return at[new], ends[np.concatenate((new[1:], [True]))]
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            runs = merge(list(zip(r["starts"], r["ends"], strict=True)))
-            hit = sum(b - a for a, b in runs)
-            ids = sorted({str(i) for i in r["items"]})
-            rows.append((r["doc_id"], r["h"], r["n_words"], hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and 20 * hit >= r["n_words"], [a for a, _ in runs], [b for _, b in runs]))
-        yield _batch(rows, [("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+            at, n = (np.array([w[c] for w in r["windows"]], np.int64) for c in ("at", "n"))
+            starts, ends = runs_of(at, n)
+            ids = sorted(r["items"] or ())
+            rows.append({"k1": r["k1"], "k2": r["k2"], "n_hit": int((ends - starts).sum()), "n_items": len(ids), "items_sha256": hashlib.sha256(",".join(ids).encode()).hexdigest(), "starts": starts.tolist(), "ends": ends.tolist()})
+        kinds = [("k1", pa.int64()), ("k2", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+
+
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: its text's hash h, n_words, n_hit, n_items, items_sha256, contaminated, and the hit runs [starts, ends) in words."""
+def _judged_texts(docs: DataFrame, benchmark: DataFrame, bits: int, words_at_once: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k1, k2, n_words, met) of every row, and the verdicts of the texts that are hit."""
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    parts = [docs.mapInArrow(_scan(spark.sparkContext.broadcast(Index(b))), PARTS) for b in blocks(benchmark, block_bytes)]
-    if not parts:
-        parts = [docs.mapInArrow(_scan(spark.sparkContext.broadcast(Index([]))), PARTS)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    if len(parts) > 1:  # what the blocks say of a document comes together; there are as many rows as blocks
-        found = found.groupBy("doc_id", "h").agg(
-            F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items"))
-        )
-    return found.mapInArrow(_verdicts, VERDICT)
-
-
-def _unmarked(index) -> object:
+    bench = stored(item_windows(benchmark), "benchmark-windows")
+    lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # WINDOW at most
+    shared = spark.sparkContext.broadcast((bitmap(bench.where(F.col("n") == WINDOW), "g", bits), bitmap(bench, "w1", bits)))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *(k.alias(c) for k, c in zip(text_keys(), ("k1", "k2"), strict=True)))
+    scanned = stored(own.mapInArrow(_scan(shared, lengths, words_at_once), SCANNED), "scanned")
+    size = bench.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("items")).first()
+    sets = bench.select(F.xxhash64("items").alias("set"), "items")
+    marked = (
+        scanned.where(F.size("hits") > 0)
+        .select("k1", "k2", F.explode("hits").alias("w"))
+        .select("k1", "k2", "w.*")
+        .distinct()  # copies of a text hit once
+        .join(_small(bench.select("g", "w1", "w2", F.xxhash64("items").alias("set")), size["n"]), ["g", "w1", "w2"])
+    )
+    marked = stored(marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n")).alias("windows"), F.collect_set("set").alias("sets")), "marked")
+    listed = (
+        marked.select("k1", "k2", F.explode("sets").alias("set"))
+        .join(_small(sets.dropDuplicates(["set"]), size["items"]), "set")
+        .select("k1", "k2", F.explode("items").alias("item"))
+        .groupBy("k1", "k2")
+        .agg(F.collect_set("item").alias("items"))
+    )
+    verdicts = marked.select("k1", "k2", "windows").join(listed, ["k1", "k2"], "left").mapInArrow(_verdicts, VERDICTS)
+    return scanned.select("doc_id", "k1", "k2", "n_words", (F.size("hits") > 0).alias("met")), stored(verdicts, "verdicts")
+
+
+def _contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, bits: int = BITS, words_at_once: int = PART) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit runs [starts, ends) in words."""
+    scanned, verdicts = _judged_texts(docs, benchmark, bits, words_at_once)
+    none = F.array().cast("array<int>")
+    hit = scanned.where("met").join(verdicts, ["k1", "k2"], "left")
+    return hit.unionByName(scanned.where("NOT met"), allowMissingColumns=True).select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
+        F.coalesce("items_sha256", F.lit(NO_ITEMS)).alias("items_sha256"),
+        _contaminated(F.coalesce("n_hit", F.lit(0)), F.col("n_words")).alias("contaminated"),
+        F.coalesce("starts", none).alias("starts"),
+        F.coalesce("ends", none).alias("ends"),
+    )
+
+
+def _ruled_out(shared: Broadcast[Any], key: str, stays: bool):
+    """Rows whose key the bitmap rules out, or the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
+        own = shared.value
         for batch in batches:
-            keep = []
-            for text in batch.column("text"):
-                ws = words(text.as_py())
-                hit = sum(b - a for a, b in merge(own.hits(ws)[0])) if ws else 0
-                keep.append(not (hit > 0 and 20 * hit >= len(ws)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            met = among(own, batch.column(key).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(~met if stays else met))
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the contaminated ones.
+def clean(docs: DataFrame, benchmark: DataFrame, bits: int = BITS, words_at_once: int = PART) -> DataFrame:
+    """docs without the contaminated rows, with docs' columns.
 
-    With a benchmark of one block this is one scan without a shuffle; with more, hits of all blocks are summed first.
+    A bitmap of the contaminated texts' keys lets all rows that it rules out pass where they are; only the others are
+    joined to the keys themselves, so clean texts are never shuffled.
     """
-    held = list(itertools.islice(blocks(benchmark, block_bytes), 2))
-    if len(held) < 2:
-        index = docs.sparkSession.sparkContext.broadcast(Index(held[0] if held else []))
-        return docs.mapInArrow(_unmarked(index), docs.schema)
-    bad = contamination(docs, benchmark, block_bytes).where("contaminated").select(key_of("doc_id").alias("_bad"), "h").distinct()
-    return docs.join(bad.hint("merge"), (key_of("doc_id") == F.col("_bad")) & (F.xxhash64("text") == F.col("h")), "left_anti")
+    scanned, verdicts = _judged_texts(docs, benchmark, bits, words_at_once)
+    bad = scanned.where("met").select("k1", "k2", "n_words").distinct().join(verdicts, ["k1", "k2"]).where(_contaminated(F.col("n_hit"), F.col("n_words"))).select("k1", "k2")
+    bad = stored(bad, "contaminated")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(bad, "k1", bits))
+    # The caller's columns go in one struct, so that no name of theirs meets one of these.
+    keyed = docs.select(F.struct(*columns_of(docs)).alias("row"), *(k.alias(c) for k, c in zip(text_keys(), ("k1", "k2"), strict=True)))
+    passed = keyed.mapInArrow(_ruled_out(shared, "k1", True), keyed.schema)
+    doubtful = keyed.mapInArrow(_ruled_out(shared, "k1", False), keyed.schema)
+    return passed.unionByName(doubtful.join(bad, ["k1", "k2"], "left_anti").select(*keyed.columns)).select("row.*")

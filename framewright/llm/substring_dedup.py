@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.common import key_of, partitions, stored, text_of, utf8
+from framewright.llm.rolling import mix, prefix_hash, smallest, stretch
 
 LENGTH = 100
 GRAM = 24
@@ -45,47 +46,6 @@ PART = 1 << 22
 #: Segments that a scan task combines at a time.
 COMBINE = 200_000
 
-_rng = np.random.Generator(np.random.PCG64(20_250_102))
-#: Two independent polynomial hashes modulo 2**64 over random values of the bytes.
-VALUES = _rng.integers(0, 2**64, (2, 256), np.uint64)
-BASES = _rng.integers(0, 2**63, 2, np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of base k and of its inverse modulo 2**64, n at least."""
-    if k not in _powers or len(_powers[k][0]) < n:
-        size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(BASES[k]), -1, 2**64))
-        _powers[k] = tuple(np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (BASES[k], inverse))
-    return _powers[k]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def prefix_hash(data: np.ndarray, k: int) -> np.ndarray:
-    """Sums by which the hash of any stretch is two look-ups: see stretch()."""
-    up, _ = _power(k, len(data))
-    return np.concatenate(([np.uint64(0)], np.cumsum(VALUES[k][data] * up[: len(data)], dtype=np.uint64)))
-
-
-def stretch(sums: np.ndarray, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end], the same wherever the stretch stands."""
-    _, down = _power(k, len(sums))
-    return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-
-
-def _smallest(key: np.ndarray, w: int) -> np.ndarray:
-    """Smallest of each w values in a row, by running minima of blocks from both sides."""
-    n = len(key)
-    padded = np.concatenate((key, np.full(-n % w, np.iinfo(key.dtype).max, key.dtype))).reshape(-1, w)
-    ahead = np.minimum.accumulate(padded, axis=1).ravel()
-    back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
-
 
 def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(anchor, whole, lo, hi, windows): segment i has the windows that start at lo[i] .. hi[i]."""
@@ -95,13 +55,13 @@ def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
     h = stretch(grams, 0, at, at + gram)
     # The place breaks ties, the leftmost first, which depends on the window's own bytes only.
     low = np.uint64(PART.bit_length() + 1)
-    first = _smallest((h >> low << low) | at.astype(np.uint64), length - gram + 1)
+    first = smallest((h >> low << low) | at.astype(np.uint64), length - gram + 1)
     place = (first & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     lo = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
     hi = np.concatenate((lo[1:] - 1, [len(place) - 1]))
     anchor = h[place[lo]]
     sums = prefix_hash(data, 1)
-    whole = stretch(sums, 1, lo, hi + length) ^ _mix((place[lo] - lo).astype(np.uint64) + np.uint64(1))
+    whole = stretch(sums, 1, lo, hi + length) ^ mix((place[lo] - lo).astype(np.uint64) + np.uint64(1))
     return anchor, whole, lo, hi, sums
 
 
@@ -276,7 +236,7 @@ def _bytes_of(length: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names)
             if hot:
                 a, b, doc, lo, _ = (np.concatenate(c) for c in zip(*hot, strict=True))
-                key = a ^ _mix(b)
+                key = a ^ mix(b)
                 first = _firsts(key, key, doc, lo)
                 # hi < lo marks a window that repeats one of this batch.
                 yield pa.RecordBatch.from_arrays(

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from framewright.llm import class_lm, decontaminate, html_text, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_counts
 from framewright.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
@@ -387,17 +388,42 @@ def contamination_by_hand(docs, items):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
-def test_contamination(spark, awkward, prose, block):
+@pytest.mark.parametrize(("bits", "words_at_once"), [(1 << 26, 1 << 17), (1 << 15, 20)])
+def test_contamination(spark, awkward, prose, bits, words_at_once):
     texts = [r.text for r in awkward.where("doc_id < 12").orderBy("doc_id").collect()]
     items = [(1, " ".join(texts[0].split()[5:25])), (2, " ".join(texts[1].split()[:13])), (3, " ".join(texts[2].split()[3:7])), (4, None), (5, ""), (6, texts[3].upper()), (7, prose(30)), (7, "the"), (8, " ".join(texts[0].split()[5:25]))]
+    items += [(9 + k, prose(5) + " " + " ".join(texts[4].split()[k : k + 14]) + " " + prose(5)) for k in range(12)] + [(40, "a b"), (41, " ".join(texts[5].split()[-12:])), (42, " ".join(texts[5].split()[:1]))]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    df = awkward.where("doc_id IS NULL OR doc_id < 24").dropDuplicates(["doc_id", "text"])
-    out = decontaminate.contamination(df, bench, block).collect()
+    # Repeated rows, several texts of one id and rows without an id among them.
+    df = awkward.where("doc_id IS NULL OR doc_id < 24").unionByName(awkward.where("doc_id < 6"))
+    out = decontaminate.contamination(df, bench, bits, words_at_once).collect()
     got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out)
     assert got == contamination_by_hand([(r.doc_id, r.text) for r in df.collect()], items)
-    kept = decontaminate.clean(df, bench, block)
-    assert kept.columns == df.columns and kept.count() == sum(n for k, n in got.items() if not k[5])
+    kept = decontaminate.clean(df.withColumns({"k1": F.lit(1), "K2": F.lit("x"), "h.i": F.lit(2)}), bench, bits, words_at_once)
+    assert kept.columns == [*df.columns, "k1", "K2", "h.i"] and kept.count() == sum(n for k, n in got.items() if not k[5])
+    assert kept.where("k1 <> 1").count() == 0
+
+
+def test_contamination_of_the_table(spark):
+    read = lambda t: [tuple(r) for r in spark.read.parquet(f"{SF}/{t}.parquet").select(*(("doc_id", "text") if t == "documents" else ("item_id", "text"))).collect()]
+    out = QUERIES["op10_decontamination"](spark, SF).collect()
+    assert Counter(map(tuple, out)) == contamination_by_hand(read("documents"), read("benchmark"))
+
+
+def test_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "five")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, "two three"), (3, "four"), (None, "four"), (None, "five")], "item_id bigint, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: (3, 1, hashlib.sha256(b"3").hexdigest()), 2: (1, 0, hashlib.sha256(b"").hexdigest())}
+
+
+def test_contamination_of_a_long_text(spark, prose):
+    """A text of several parts, with an item across each boundary."""
+    ws = [f"w{i}" for i in range(300_000)]
+    text = " ".join(ws)
+    items = [(k, " ".join(ws[at : at + 20])) for k, at in enumerate((0, (1 << 17) - 10, (1 << 18) - 13, 299_980))]
+    out = decontaminate.contamination(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).first()
+    assert (out.n_words, out.n_hit, out.n_items) == (300_000, 80, 4)
 
 
 def test_contamination_edges(spark, awkward, nothing):
