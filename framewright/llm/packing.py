@@ -3,8 +3,9 @@
 Pieces matter to packing only by length, so the problem is a histogram of at most CAPACITY lengths, whatever the
 number of documents.  Its configuration linear program (which multisets of lengths fill a sequence, and how often to
 use each) is solved by multiplicative weights: every length has a price, a knapsack dynamic program finds the
-configuration worth most at these prices, and the prices of lengths that it serves fall.  The fractional solution is
-rounded down, and what is left is packed best-fit decreasing, together with whatever roundings left open.
+configuration that is full and worth most at these prices, and the prices of lengths that it serves fall.  How often a
+configuration is used is rounded down to a whole number as it is found.  Rounds go on until what is left fills no
+sequence; that remainder is packed best-fit decreasing.
 
 The plan (a row for each configuration and length) is then applied by rank: the r-th piece of a length goes to the
 sequence that the plan gives to rank r.  Ranks are counted in salted groups, with as many salts for a length as its
@@ -33,10 +34,16 @@ from framewright.llm.common import partitions, stored, text_of
 CAPACITY = 2048
 #: The closing id, 0, as it stands in a sequence.
 END_ID = bytes(4)
-ROUNDS = 200
-#: Most of a length's count that one step serves, and the rate at which served lengths lose weight.
-STEP = 0.25
-RATE = 0.1
+SEED = 20_250_103
+#: Lengths that a round prices at first.
+PRICED = 64
+#: Most of a length's count that one round serves, and the rate at which served lengths lose weight.
+STEP = 0.5
+RATE = 0.5
+#: How much more than its share a length of a whole sequence is worth.
+LONGER = 1.0
+#: Tokens that a configuration may leave open.
+WASTE = 2
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Text that is split and encoded at a time.
 BATCH_BYTES = 8_000_000
@@ -166,9 +173,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
 # ---- the plan, on a histogram of lengths
 
 
-def best_configuration(price: np.ndarray, lengths: np.ndarray, count: np.ndarray, capacity: int) -> tuple[Counter, float]:
-    """The knapsack dynamic program: the multiset of lengths within capacity worth most, no length more often than there is."""
-    value = np.zeros(capacity + 1)
+def best_configuration(price: np.ndarray, lengths: np.ndarray, count: np.ndarray, capacity: int, waste: int = 0) -> Counter:
+    """The knapsack dynamic program: of the multisets of lengths that leave ``waste`` tokens at most, the one worth most.
+
+    No length is taken more often than there is.  Empty where no multiset fills a sequence so far.
+    """
+    value = np.full(capacity + 1, -np.inf)
+    value[0] = 0.0
     takes = []
     for n, p, most in zip(lengths.tolist(), price.tolist(), count.tolist(), strict=True):
         # A length may be taken 1, 2, 4, ... times at once, so a bounded number of copies needs few steps.
@@ -177,66 +188,75 @@ def best_configuration(price: np.ndarray, lengths: np.ndarray, count: np.ndarray
             m = min(k, left)
             w = n * m
             got = value[: capacity + 1 - w] + p * m
-            better = got > value[w:] + 1e-15
-            if better.any():
-                takes.append((n, m, w, better))
-                value[w:] = np.where(better, got, value[w:])
+            better = got > value[w:]
+            takes.append((n, m, w, better))
+            np.maximum(got, value[w:], out=value[w:])
             left -= m
             k *= 2
+    room = capacity - waste + int(value[capacity - waste :].argmax())
     chosen: Counter = Counter()
-    room = capacity
+    if value[room] == -np.inf:
+        return chosen
     for n, m, w, better in reversed(takes):
         if room >= w and better[room - w]:
             chosen[n] += m
             room -= w
-    return chosen, float(value[capacity])
+    return chosen
 
 
-def fractional(hist: dict[int, int], capacity: int, rounds: int) -> list[tuple[Counter, float]]:
-    """Configurations and how often to use each, by multiplicative weights; what the rounds leave is best-fit's."""
-    lengths = np.array(sorted(hist, reverse=True))
-    count = np.array([hist[int(n)] for n in lengths])
-    # A price starts as a length's share of a sequence, longer ones a little dearer, as they are harder to place.
-    base = lengths / capacity * (1 + 0.05 * lengths / capacity)
+def configurations(hist: dict[int, int], capacity: int, seed: int = SEED) -> list[tuple[int, Counter]]:
+    """(times, configuration) by multiplicative weights: whole numbers of times, no length served more than it is there.
+
+    Each round prices the lengths, and the knapsack program finds the best configuration among ``PRICED`` of the lengths
+    still open, drawn by their weights; where these fill no sequence, four times as many are priced, up to all.  It is
+    used until one of its lengths has ``STEP`` of its count served, and each length that it serves loses weight by its
+    share.  Rounds end when no configuration of all that is left wastes ``WASTE`` tokens or less.
+    """
+    lengths = np.array(sorted(hist, reverse=True), np.int64)
+    count = np.array([hist[int(n)] for n in lengths], np.int64)
+    left = count.copy()
     weight = np.ones(len(lengths))
-    served = np.zeros(len(lengths))
     place = {int(n): i for i, n in enumerate(lengths)}
-    found: dict[tuple, list] = {}
-    for _ in range(rounds):
-        left = count - served
-        open_ = left >= 1
-        if not open_.any():
+    # A length is worth its share of a sequence, longer ones a little more, as they are harder to place.
+    worth = lengths / capacity * (1 + LONGER * lengths / capacity)
+    rng = np.random.default_rng(seed)
+    found: Counter = Counter()
+    while True:
+        open_ = np.flatnonzero(left)
+        if not len(open_):
             break
-        config, _ = best_configuration((base * weight)[open_], lengths[open_], left[open_].astype(np.int64), capacity)
-        key = tuple(sorted(config.items(), reverse=True))
-        # A step serves at most STEP of any length's count, so that no configuration takes all of a length at once.
-        step = min(min(max(STEP * count[place[n]], 1) / m, left[place[n]] / m) for n, m in key)
-        own = found.setdefault(key, [config, 0.0])
-        own[1] += step
-        for n, m in key:
-            i = place[n]
-            served[i] += m * step
-            weight[i] *= np.exp(-RATE * m * step / count[i])
-        weight /= weight.max()
-    return [(c, x) for c, x in found.values() if x > 0]
-
-
-def plan(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, Counter]]:
+        priced = PRICED
+        while True:
+            some = open_
+            if priced < len(open_):
+                # The largest of log(u) / weight: a draw without replacement by weight.
+                some = open_[np.sort(np.argpartition(np.log(rng.random(len(open_))) / weight[open_], -priced)[-priced:])]
+            config = best_configuration((worth * weight)[some], lengths[some], left[some], capacity, WASTE if len(some) == len(open_) else 0)
+            if config or len(some) == len(open_):
+                break
+            priced *= 4
+        if not config:
+            break
+        own = [(place[n], m) for n, m in config.items()]
+        times = min(min(max(int(STEP * count[i]), m), left[i]) // m for i, m in own)
+        found[tuple(sorted(config.items(), reverse=True))] += int(times)
+        for i, m in own:
+            left[i] -= m * times
+            weight[i] *= np.exp(-RATE * m * times / count[i])
+    return [(times, Counter(dict(key))) for key, times in found.items()]
+
+
+def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, Counter]]:
     """(times, configuration): together they hold every piece of the histogram exactly once."""
     left = Counter({n: c for n, c in hist.items() if c > 0})
     out: list[tuple[int, Counter]] = []
     if left.get(capacity):
         out.append((left.pop(capacity), Counter({capacity: 1})))
-    for config, x in sorted(fractional(dict(left), capacity, rounds), key=lambda e: -e[1]):
-        times = min([int(x + 1e-9)] + [left[n] // m for n, m in config.items()])
-        # A configuration that leaves room waits for the rest, which may fill it.
-        if times > 0 and sum(n * m for n, m in config.items()) == capacity:
-            out.append((times, config))
-            for n, m in config.items():
-                left[n] -= times * m
-    left = Counter({n: c for n, c in left.items() if c})
-    out += best_fit(left, capacity)
-    return out
+    for times, config in configurations(dict(left), capacity):
+        out.append((times, config))
+        for n, m in config.items():
+            left[n] -= times * m
+    return out + best_fit(Counter({n: c for n, c in left.items() if c}), capacity)
 
 
 def best_fit(left: Counter, capacity: int) -> list[tuple[int, Counter]]:
@@ -291,12 +311,12 @@ def plan_rows(planned: list[tuple[int, Counter]]) -> list[tuple]:
     return rows
 
 
-def packed(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """parts (with doc_id, piece, length) and where each goes: sequence_id and offset."""
     spark = parts.sparkSession
     n = partitions(spark)
     hist = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}  # capacity rows at most
-    rows = plan_rows(plan(hist, capacity, rounds)) or [(0, 0, 0, 1, 0, 0)]
+    rows = plan_rows(plan(hist, capacity)) or [(0, 0, 0, 1, 0, 0)]
     # A length has a salt for each share of the pieces that a task should hold.
     share = max(1, sum(hist.values()) // (8 * n))
     sizes = spark.createDataFrame([(k, -(-c // share)) for k, c in hist.items()] or [(0, 1)], "length bigint, _salts bigint")
@@ -326,14 +346,14 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = ROUNDS, cache_words: int = CACHE_WORDS, part_bytes: int = BATCH_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, part_bytes: int = BATCH_BYTES) -> DataFrame:
     """Pieces of all docs with sequence_id and offset.  Tokens are counted once, in one pass over the texts."""
-    return packed(stored(pieces(docs, tokenizer, capacity, cache_words=cache_words, part_bytes=part_bytes), "pieces"), capacity, rounds)
+    return packed(stored(pieces(docs, tokenizer, capacity, cache_words=cache_words, part_bytes=part_bytes), "pieces"), capacity)
 
 
-def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences themselves: (sequence_id, ids array<int>), in order of offset."""
-    placed = packed(stored(pieces(docs, tokenizer, capacity, with_ids=True), "pieces"), capacity, rounds)
+    placed = packed(stored(pieces(docs, tokenizer, capacity, with_ids=True), "pieces"), capacity)
 
     def join(group: pa.Table) -> pa.Table:
         group = group.sort_by("offset")
