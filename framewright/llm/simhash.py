@@ -4,14 +4,15 @@ A document's fingerprint: lower-case A-Z, words parted by ASCII white space, 3-w
 text: its whole word sequence; none: fingerprint zero); bit b is 1 where more than half of the shingles' XXH64 values
 (seed 42) have it.  Two fingerprints link at ``BUDGET`` differing bits or fewer.
 
-Distinct fingerprints only are joined, so exact copies cost one row.  The join: two fingerprints that differ in 2 bits
-agree on one of 3 blocks of bits, so each distinct fingerprint goes to the 3 groups that its blocks name.  In a group
-the fingerprints are a binary trie (a sorted array); node pairs are walked together from the root, each adding the
-bits in which its two branches differ, and a pair is left as soon as its sum passes the budget.
+Distinct fingerprints only are joined, so exact copies cost one row.  They are one binary trie, joined with itself from
+the root: node pairs go down together, each adding the bits in which its two branches differ, and a pair is left as
+soon as its sum passes the budget.
 
-A group of more than ``GROUP`` fingerprints (a dense cluster of near copies) is not walked in one task: its trie is cut
-at the d bits that split the group best, and each pair of cut nodes at 2 differing bits or fewer is a group of its own.
-That spreads the same walk over tasks; it drops nothing.
+The top of the trie is walked on DataFrames: it is cut at the bits that part the fingerprints best, and each
+fingerprint becomes a row of every node pair that its node is in within the budget (1 + d + d(d-1)/2 of them for d bits).
+Pairs with an empty side end there; those of more than ``GROUP`` fingerprints (a dense cluster of near copies) are cut
+again, each at its own bits.  The others are walked to the leaves in tasks, a node pair in one.  As many bits are cut as
+bring pairs to that size, so tasks are bounded at any number of fingerprints; nothing is dropped.
 
 Links become components by large-star and small-star rounds on DataFrames, cut by tables in the shared folder.  In a
 group only spanning links are passed on (at most one a fingerprint), which leaves the components as they are.
@@ -22,6 +23,9 @@ component has no other id); repeated rows share fingerprint and component.
 
 from __future__ import annotations
 
+import functools
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +39,12 @@ from framewright.llm.common import key_of, partitions, stored, utf8
 SHINGLE = 3
 SEED = 42
 BUDGET = 2
-#: Lowest bit and width of the blocks; BUDGET + 1 of them, so that two linked fingerprints agree on one.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
-#: Fingerprints of a group that one task walks.
-GROUP = 256
-#: Most bits at which a large group is cut.
-MOST_BITS = 20
-#: A node pair of this many leaves or fewer is compared bit by bit at once.
-LEAVES = 64
+#: Fingerprints of a node pair that one task walks.
+GROUP = 4096
+#: Most bits at which the trie is first cut, and those at which a node pair that is still large is.
+MOST_BITS, NEXT_BITS = 14, 6
+#: Node pairs of a depth that go down together.
+FRONTIER = 1 << 19
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -84,36 +86,45 @@ def fingerprinted(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 # ---- the trie
 
 
-def trie_pairs(fps: np.ndarray, other: np.ndarray | None = None, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs (arrays of values) in a sorted array of distinct unsigned values, or between it and another."""
+def trie_pairs(fps: np.ndarray, other: np.ndarray | None = None, budget: int = BUDGET, met: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs (arrays of values) in a sorted array of distinct unsigned values, or between it and another.
+
+    A node is a slice of a sorted array: the values under one prefix.  All node pairs of a depth go down together, each
+    to its four pairs of children; a pair whose branches differ has used one more bit, and pairs beyond the budget are
+    never made.  ``met`` counts node pairs by depth.
+    """
     a, b = fps, fps if other is None else other
-    # A node is a slice of the sorted array; a pair is (a's slice, b's slice, depth from the top bit, bits differing).
-    todo = [(0, len(a), 0, len(b), 63, 0)]
+    # (a's slice, b's slice, bits differing, whether both are one node), level by level from the top bit.
+    one = np.zeros(1, np.int64)
+    todo = [(63, (one, one + len(a), one, one + len(b), one, np.full(1, other is None)))]
     while todo:
-        a0, a1, b0, b1, bit, used = todo.pop()
-        if a0 == a1 or b0 == b1:
-            continue
-        same = other is None and a0 == b0 and a1 == b1
-        if same and a1 - a0 == 1:
-            continue
-        if bit < 0 or (a1 - a0) * (b1 - b0) <= LEAVES * LEAVES:
-            x, y = a[a0:a1], b[b0:b1]
-            i, j = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= budget)
-            if same:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                yield x[i], y[j]
+        bit, (a0, a1, b0, b1, used, same) = todo.pop()
+        if met is not None:
+            met[63 - bit] += len(a0)
+        # Single values on both sides need no more nodes.
+        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
+        x, y = a[a0[leaf & ~same]], b[b0[leaf & ~same]]
+        close = (np.bitwise_count(x ^ y) <= budget) & (x != y)
+        if close.any():
+            yield x[close], y[close]
+        a0, a1, b0, b1, used, same = (c[~leaf] for c in (a0, a1, b0, b1, used, same))
+        if not len(a0) or bit < 0:
             continue
-        half = np.uint64(1) << np.uint64(bit)
-        top = ~((half << np.uint64(1)) - np.uint64(1)) if bit < 63 else np.uint64(0)
-        am = a0 + int(np.searchsorted(a[a0:a1], (a[a0] & top) | half))
-        bm = b0 + int(np.searchsorted(b[b0:b1], (b[b0] & top) | half))
-        todo.append((a0, am, b0, bm, bit - 1, used))
-        todo.append((am, a1, bm, b1, bit - 1, used))
-        if used < budget:
-            todo.append((a0, am, bm, b1, bit - 1, used + 1))
-            if not same:
-                todo.append((am, a1, b0, bm, bit - 1, used + 1))
+        am, bm = (hi - (ones[hi] - ones[lo]) for lo, hi, ones in ((a0, a1, _ones(a, bit)), (b0, b1, _ones(b, bit))))
+        spent, cross = used + 1, np.zeros(len(a0), bool)
+        children = [(a0, am, b0, bm, used, same), (am, a1, bm, b1, used, same), (a0, am, bm, b1, spent, cross), (am, a1, b0, bm, spent, cross)]
+        keep = [
+            # Of a node with itself one of the two mixed pairs is enough.
+            (c[1] > c[0]) & (c[3] > c[2]) & (c[4] <= budget) & ~((k == 3) & same)
+            for k, c in enumerate(children)
+        ]
+        level = tuple(np.concatenate([c[i][m] for c, m in zip(children, keep, strict=True)]) for i in range(6))
+        for start in range(0, len(level[0]), FRONTIER):  # a wide level goes on in parts, to bound its memory
+            todo.append((bit - 1, tuple(c[start : start + FRONTIER] for c in level)))
+
+
+def _ones(values: np.ndarray, bit: int) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum((values >> np.uint64(bit) & np.uint64(1)).astype(np.int64))))
 
 
 def spanning(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[list[int], list[int]]:
@@ -139,7 +150,7 @@ def spanning(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[list[int],
 
 def _walk(spanning_only: bool, budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (key, side): side 0 is walked with itself, or with side 1 where there is one."""
+        """Rows come sorted by key: a node pair, or a node with itself."""
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
@@ -159,15 +170,17 @@ def _walk(spanning_only: bool, budget: int):
 
 
 def _groups(table: pa.Table, spanning_only: bool, budget: int) -> Iterator[pa.RecordBatch]:
-    keys, side, pair = (table.column(c).to_numpy() for c in ("key", "side", "pair"))
+    keys, side, cross = (table.column(c).to_numpy() for c in ("key", "side", "cross"))
     fps = table.column("fp").to_numpy().view(np.uint64)
     edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
     xs: list[int] = []
     ys: list[int] = []
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        own = np.unique(fps[lo:hi][side[lo:hi] == 0])
-        rest = np.unique(fps[lo:hi][side[lo:hi] == 1]) if pair[lo] else None
-        found = trie_pairs(own, rest, budget)
+        # Were two node pairs ever to share a key, their union holds the links of both.
+        if cross[lo:hi].all():
+            found = trie_pairs(np.unique(fps[lo:hi][side[lo:hi] == 0]), np.unique(fps[lo:hi][side[lo:hi] == 1]), budget)
+        else:
+            found = trie_pairs(np.unique(fps[lo:hi]), None, budget)
         if spanning_only:
             x, y = spanning(found)
         else:
@@ -180,55 +193,76 @@ def _groups(table: pa.Table, spanning_only: bool, budget: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _block(block: Column) -> Column:
-    fp = F.col("fp")
-    parts = [F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in BLOCKS]
-    return F.when(block == 0, parts[0]).when(block == 1, parts[1]).otherwise(parts[2])
-
-
 def _bits(picked: Column) -> Column:
     """The fingerprint's bits at the picked places, as one number."""
     return F.aggregate(picked, F.lit(0).cast("bigint"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp"), b).bitwiseAND(F.lit(1))))
 
 
-def _masks(n: Column) -> Column:
-    """All numbers of n bits with BUDGET (2) ones or fewer, 0 first."""
-    each = F.sequence(F.lit(0), n - 1)
-    power = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
-    two = F.flatten(F.transform(each, lambda i: F.transform(F.filter(each, lambda j: j > i), lambda j: power(i).bitwiseOR(power(j)))))
-    return F.concat(F.array(F.lit(0).cast("bigint")), F.transform(each, power), two)
+def _masks(bits: int, ones: int) -> Column:
+    """All numbers of so many bits with so many ones or fewer."""
+    found = [sum(1 << i for i in places) for n in range(ones + 1) for places in itertools.combinations(range(bits), n)]
+    return F.array(*(F.lit(m).cast("bigint") for m in found))
+
 
+def _cut(members: DataFrame, bits: int, budget: int, first: bool) -> DataFrame:
+    """The node pairs ``bits`` levels below those of members, in an order of bits that parts each of them well.
 
-def links(fps: DataFrame, spanning_only: bool = False, group: int = GROUP) -> DataFrame:
+    A fingerprint goes to every pair that its node is in within what is left of the budget.
+    """
+    # A bit's lack of balance in a node pair; the bits that it has come down by are out.
+    off = [
+        F.when(F.max(F.shiftrightunsigned("done", b).bitwiseAND(F.lit(1))) == 1, F.lit(2**62)).otherwise(F.abs(2 * F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))) - F.count("*")))
+        for b in range(64)
+    ]
+    picks = members.groupBy("key").agg(F.array(*(F.struct(o.alias("off"), F.lit(b).alias("bit")) for b, o in enumerate(off))).alias("_off"))
+    picks = picks.select("key", F.transform(F.slice(F.array_sort("_off"), 1, bits), lambda x: x["bit"]).alias("picked"))
+    left = budget - F.col("used")
+    masks = _masks(bits, budget)
+    for ones in range(budget):
+        masks = F.when(left == ones, _masks(bits, ones)).otherwise(masks)
+    # The first cut's picks are one row, for all fingerprints are in one node.
+    placed = members.join(F.broadcast(picks) if first else picks, "key").withColumn("node", _bits(F.col("picked"))).withColumn("mask", F.explode(masks))
+    node, mine = F.col("node"), F.col("side") == 0
+    met = node.bitwiseXOR(F.col("mask"))
+    low = F.when(F.col("cross"), F.when(mine, node).otherwise(met)).otherwise(F.least(node, met))
+    high = F.when(F.col("cross"), F.when(mine, met).otherwise(node)).otherwise(F.greatest(node, met))
+    return placed.select(
+        F.xxhash64("key", low, high).alias("key"),
+        "fp",
+        F.when(F.col("cross"), F.col("side")).otherwise((node > met).cast("int")).alias("side"),
+        (F.col("cross") | (F.col("mask") != 0)).alias("cross"),
+        (F.col("used") + F.bit_count("mask")).cast("int").alias("used"),
+        F.aggregate("picked", F.col("done"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b))).alias("done"),
+    )
+
+
+def links(fps: DataFrame, spanning_only: bool = False, group: int = GROUP, budget: int = BUDGET) -> DataFrame:
     """(a, b): linked pairs of distinct fingerprints, a < b as signed longs; fps has distinct values in fp.
 
-    spanning_only keeps, of each group's links, a spanning set.
+    spanning_only keeps, of each node pair's links, a spanning set.
     """
     spark = fps.sparkSession
     n = partitions(spark)
-    members = fps.select("fp", F.explode(F.array(*map(F.lit, range(len(BLOCKS))))).alias("block")).withColumn("value", _block(F.col("block")))
-    sizes = members.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
-    sized = stored(members.join(sizes, ["block", "value"]), "simhash-groups")
-    small = sized.where(F.col("n") <= group).select(F.xxhash64("block", "value").alias("key"), "fp", F.lit(0).alias("side"), F.lit(False).alias("pair"))
-
-    # Large groups: cut at the bits whose ones are nearest to half of the group.
-    large = sized.where(F.col("n") > group)
-    ones = [F.abs(2 * F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))) - F.count("*")) for b in range(64)]
-    cut = (
-        large.groupBy("block", "value")
-        .agg(F.count("*").alias("_n"), F.array(*(F.struct(o.alias("d"), F.lit(b).alias("bit")) for b, o in enumerate(ones))).alias("_ones"))
-        .select(
-            "block",
-            "value",
-            F.slice(F.transform(F.array_sort("_ones"), lambda x: x["bit"]), F.lit(1), F.least(F.lit(MOST_BITS), F.greatest(F.lit(1), F.ceil(F.log2(2 * F.col("_n") / group)))).cast("int")).alias("picked"),
-        )
-    )
-    nodes = large.join(cut, ["block", "value"]).withColumn("node", _bits(F.col("picked"))).withColumn("mask", F.explode(_masks(F.size("picked"))))
-    met = F.col("node").bitwiseXOR(F.col("mask"))
-    low, high = F.least("node", met), F.greatest("node", met)
-    big = nodes.select(F.xxhash64("block", "value", low, high).alias("key"), "fp", (F.col("node") > met).cast("int").alias("side"), (F.col("mask") != 0).alias("pair"))
-    todo = small.unionByName(big).repartition(n, "key").sortWithinPartitions("key")
-    return todo.mapInArrow(_walk(spanning_only, BUDGET), "a bigint, b bigint").distinct()
+    total = fps.count()
+    members = fps.select(F.lit(0).cast("bigint").alias("key"), "fp", F.lit(0).alias("side"), F.lit(False).alias("cross"), F.lit(0).alias("used"), F.lit(0).cast("bigint").alias("done"))
+    ready: list[DataFrame] = []
+    small = ("key", "fp", "side", "cross")
+    if total <= group:
+        ready.append(members.select(*small))
+        total = 0
+    bits = min(MOST_BITS, max(1, (2 * total // group).bit_length()))
+    while total:
+        members = stored(_cut(members, bits, budget, not ready), "node-pairs")
+        sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 0).alias("n0"), F.bool_and("cross").alias("only"))
+        # Node pairs with nothing on one side end here.
+        sizes = sizes.where("n > 1 AND (NOT only OR (n0 > 0 AND n0 < n))").select("key", "n")
+        sized = stored(members.join(sizes, "key"), "sized-pairs")
+        ready.append(sized.where(F.col("n") <= group).select(*small))
+        members = sized.where(F.col("n") > group).drop("n")
+        total = members.count()
+        bits = NEXT_BITS
+    todo = functools.reduce(DataFrame.unionByName, ready).repartition(n, "key").sortWithinPartitions("key")
+    return todo.mapInArrow(_walk(spanning_only, budget), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on awkward and empty tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -93,15 +94,51 @@ def test_page_table(spark):
 # ---- 3
 
 
+def check_plan(hist):
+    planned = packing.plan(hist)
+    assert sum((Counter({k: m * t for k, m in c.items()}) for t, c in planned), Counter()) == hist
+    assert all(t > 0 and sum(k * m for k, m in c.items()) <= 2048 for t, c in planned)
+    return sum(t for t, _ in planned), -(-sum(k * m for k, m in hist.items()) // 2048)
+
+
 def test_plan_holds_all_pieces():
     rng = np.random.default_rng(2)
     for n in (0, 1, 40, 3000):
-        hist = Counter(np.clip(rng.lognormal(5.5, 1, n).astype(int) + 1, 1, 2048).tolist())
-        planned = packing.plan(hist)
-        assert sum((Counter({k: m * t for k, m in c.items()}) for t, c in planned), Counter()) == hist
-        assert all(sum(k * m for k, m in c.items()) <= 2048 for _, c in planned)
-        low = -(-sum(k * m for k, m in hist.items()) // 2048)
-        assert sum(t for t, _ in planned) <= low + 1 + low // 100
+        used, low = check_plan(Counter(np.clip(rng.lognormal(5.5, 1, n).astype(int) + 1, 1, 2048).tolist()))
+        assert used <= low + 1 + low // 1000
+
+
+def test_plan_of_lengths_that_do_not_fit_together():
+    assert check_plan(Counter({1100: 50}))[0] == 50
+    assert check_plan(Counter({1500: 10, 600: 10}))[0] <= 14
+    assert check_plan(Counter({683: 9}))[0] == 5
+    assert check_plan(Counter({1: 5000, 2047: 3}))[0] == 6
+    assert check_plan(Counter({2048: 7, 1024: 4}))[0] == 9
+
+
+@pytest.mark.parametrize(("pieces", "mean"), [(10_000, 5.5), (1_000_000, 5.5), (1_000_000, 6.3)])
+def test_program_packs_most_pieces(pieces, mean):
+    rng = np.random.default_rng(3)
+    hist = Counter(np.clip(rng.lognormal(mean, 1, pieces).astype(int) + 1, 1, 2048).tolist())
+    used, low = check_plan(hist)
+    assert used <= low * 1.001 + 1
+    partial = {n: c for n, c in hist.items() if n < 2048}
+    by_program = sum(t * sum(c.values()) for t, c in packing.configurations(partial, 2048))
+    assert by_program >= 0.8 * sum(partial.values())
+
+
+def test_knapsack_finds_the_dearest_full_configuration():
+    rng = random.Random(6)
+    for _ in range(30):
+        lengths = np.array(sorted(rng.sample(range(1, 15), 4), reverse=True))
+        count = np.array([rng.randint(1, 3) for _ in lengths])
+        price = np.array([rng.random() for _ in lengths])
+        full = [c for c in itertools.product(*(range(n + 1) for n in count.tolist())) if np.dot(c, lengths) == 20]
+        got = packing.best_configuration(price, lengths, count, 20)
+        assert bool(got) == bool(full)
+        if full:
+            assert sum(n * m for n, m in got.items()) == 20 and all(got[n] <= c for n, c in zip(lengths.tolist(), count.tolist()))
+            assert sum(price[lengths.tolist().index(n)] * m for n, m in got.items()) == pytest.approx(max(np.dot(c, price) for c in full))
 
 
 def check_packed(rows, capacity=2048):
@@ -267,6 +304,57 @@ def test_links(spark, group):
     assert got == want
 
 
+def linked_by_hand(values, budget):
+    v = np.array(values, np.uint64)
+    i, j = np.nonzero(np.triu(np.bitwise_count(v[:, None] ^ v[None, :]) <= budget, 1))
+    return {tuple(sorted((int(v[a]), int(v[b])))) for a, b in zip(i, j)}
+
+
+@pytest.mark.parametrize("budget", [0, 1, 2, 4])
+def test_trie_is_walked_to_its_leaves(budget):
+    """Large groups, dense and sparse; pairs beyond the budget are never reached, so levels stay far below all pairs."""
+    rng = random.Random(8)
+    sparse = {rng.getrandbits(64) for _ in range(1500)}
+    near = {c ^ (1 << i) ^ (1 << j) for c in list(sparse)[:5] for i in range(0, 60, 3) for j in range(0, 60, 3)}
+    values = np.array(sorted(sparse | near), np.uint64)
+    met = Counter()
+    got = [tuple(sorted((int(x), int(y)))) for a, b in simhash.trie_pairs(values, None, budget, met) for x, y in zip(a, b)]
+    assert len(got) == len(set(got)) and set(got) == linked_by_hand(values, budget)
+    assert len(met) > 20 and met[0] == 1 and met[1] <= 3 and max(met.values()) < (len(values) ** 2 / 2 if budget > 2 else len(values) ** 2 / 8)
+    half = len(values) // 2
+    got = {tuple(sorted((int(x), int(y)))) for a, b in simhash.trie_pairs(values[:half], values[half:], budget) for x, y in zip(a, b)}
+    own = set(values[:half].tolist())
+    assert got == {p for p in linked_by_hand(values, budget) if (p[0] in own) != (p[1] in own)}
+
+
+@pytest.mark.parametrize("group", [16, 300])
+def test_links_of_dense_groups(spark, group):
+    """A ball of fingerprints around one, as thousands of near copies make it, among others; cut twice and more."""
+    rng = random.Random(5)
+    centre = rng.getrandbits(64)
+    fps = sorted({centre} | {centre ^ (1 << i) ^ (1 << j) for i in range(0, 64, 3) for j in range(0, 64, 2)} | {rng.getrandbits(64) for _ in range(400)})
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp bigint")
+    got = {(r.a % 2**64, r.b % 2**64) for r in simhash.links(df, group=group).collect()}
+    assert {tuple(sorted(p)) for p in got} == linked_by_hand(fps, 2)
+    tree = {(r.a % 2**64, r.b % 2**64) for r in simhash.links(df, spanning_only=True, group=group).collect()}
+    assert {tuple(sorted(p)) for p in tree} <= linked_by_hand(fps, 2)
+    assert components_of(fps, tree) == components_of(fps, got)
+
+
+def components_of(nodes, pairs):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in nodes}
+
+
 def test_components(spark, prose):
     docs = [(i, prose(40)) for i in range(60)]
     docs += [(100 + i, docs[i][1]) for i in range(10)] + [(200 + i, docs[i][1] + " zz") for i in range(20)] + [(300, None), (301, "")]
