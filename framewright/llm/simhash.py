@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import key_of, partitions, stored, utf8
+from framewright.llm.common import columns_of, key_of, partitions, stored, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -214,14 +214,15 @@ def _cut(members: DataFrame, bits: int, budget: int, first: bool) -> DataFrame:
         F.when(F.max(F.shiftrightunsigned("done", b).bitwiseAND(F.lit(1))) == 1, F.lit(2**62)).otherwise(F.abs(2 * F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))) - F.count("*")))
         for b in range(64)
     ]
-    picks = members.groupBy("key").agg(F.array(*(F.struct(o.alias("off"), F.lit(b).alias("bit")) for b, o in enumerate(off))).alias("_off"))
-    picks = picks.select("key", F.transform(F.slice(F.array_sort("_off"), 1, bits), lambda x: x["bit"]).alias("picked"))
+    listed = F.array(*(F.struct(o.alias("off"), F.lit(b).alias("bit")) for b, o in enumerate(off))).alias("_off")
+    picked = F.transform(F.slice(F.array_sort("_off"), 1, bits), lambda x: x["bit"]).alias("picked")
+    # At first all fingerprints are in one node, so there is one row of picks.
+    chosen = members.withColumn("picked", members.agg(listed).select(picked).scalar()) if first else members.join(members.groupBy("key").agg(listed).select("key", picked), "key")
     left = budget - F.col("used")
     masks = _masks(bits, budget)
     for ones in range(budget):
         masks = F.when(left == ones, _masks(bits, ones)).otherwise(masks)
-    # The first cut's picks are one row, for all fingerprints are in one node.
-    placed = members.join(F.broadcast(picks) if first else picks, "key").withColumn("node", _bits(F.col("picked"))).withColumn("mask", F.explode(masks))
+    placed = chosen.withColumn("node", _bits(F.col("picked"))).withColumn("mask", F.explode(masks))
     node, mine = F.col("node"), F.col("side") == 0
     met = node.bitwiseXOR(F.col("mask"))
     low = F.when(F.col("cross"), F.when(mine, node).otherwise(met)).otherwise(F.least(node, met))
@@ -311,17 +312,18 @@ def first_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     found = stored(rooted.select("root", me.alias("me")), "components")
     first = stored(found.groupBy("root").agg(F.min("me").alias("first")), "representatives")
     marked = found.join(first, "root")
-    key = lambda df: df.select(key_of("me.doc_id").alias("_id"), F.col("me.h").alias("_h"))
-    on = (key_of("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
+    key = lambda df: df.select(key_of("me.doc_id").alias("id"), F.col("me.h").alias("h"))
+    # The caller's columns go in one struct, so that no name of theirs meets one of these.
+    own = docs.select(F.struct(*columns_of(docs)).alias("row"), key_of("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     # How many go grows with the corpus, so they are never broadcast: the plan is the same at every size.
-    kept = docs.join(key(marked.where("NOT (me <=> first)")).distinct().hint("merge"), on, "left_anti")
+    kept = own.join(key(marked.where("NOT (me <=> first)")).distinct().hint("merge"), ["id", "h"], "left_anti")
     twice = marked.where("me <=> first").groupBy("me").agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
-        return kept
+        return kept.select("row.*")
     # Repeated rows: those rows alone are cut to one each.
     again = key(twice)
-    one = kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, on, "left_anti").unionByName(one)
+    one = kept.join(again, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    return kept.join(again, ["id", "h"], "left_anti").unionByName(one).select("row.*")
 
 
 def hex_of(fp: Column) -> Column:
