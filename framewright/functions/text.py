@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,32 @@ def title(stem: Column) -> Column:
     return F.split(stem, r" \$", 2)[0]
 
 
+def shell_slug(s: Column) -> Column:
+    """As slug(), but only A-Z become lower case, so a capital umlaut is no letter."""
+    low = F.translate(s, string.ascii_uppercase, string.ascii_lowercase)
+    for a, b in UMLAUTS:
+        low = F.replace(low, F.lit(a), F.lit(b))
+    return _slug(low)
+
+
+def short_id(uuid: Column, n: int = 8) -> Column:
+    return F.substring(uuid, 1, n)
+
+
+def padded(s: Column, width: int) -> Column:
+    """Cut or filled with spaces to a width."""
+    return F.rpad(F.substring(s, 1, width), width, " ")
+
+
+def stamp(unix_s: Column) -> Column:
+    """As 20240131T235959."""
+    return F.date_format(F.timestamp_seconds(unix_s), "yyyyMMdd'T'HHmmss")
+
+
+def age_days(unix_s: Column, now_s: Column) -> Column:
+    return (now_s - unix_s) / 86_400
+
+
 def comma_list(s: Column) -> Column:
     return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")
 

@@ -6,6 +6,10 @@ Signals are one row a frame (rid, idx, time_s, logo, nn?, speaker?, bumper_end?,
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,41 +72,45 @@ def vote_refine(edges: DataFrame, events: DataFrame, window: float, cluster: flo
     ).select("rid", "kind", "_s.side", "_s.anchor", "pos")
     known = known.where(~((F.col("kind") == "onset") & (F.col("side") == "END")) & ~((F.col("kind") == "offset") & (F.col("side") == "START")))
     reach = min(wrong, window)
-    near = within(edges, known, F.col("t"), "anchor", window, window).where("edge = side")
     d = F.col("anchor") - F.col("t")
     ahead = F.when(F.col("edge") == "START", d).otherwise(-d)  # negative: the wrong direction
-    near = near.where(ahead >= -reach).withColumn("_k", kinds[F.col("kind")])
+    # An edge without candidates comes through the left join with none.
+    near = within(edges, known, F.col("t"), "anchor", window, window, "left", (F.col("edge") == F.col("side")) & (ahead >= -reach)).withColumn("_k", kinds[F.col("kind")])
     by_edge = Window.partitionBy(*BLOCK, "edge")
     # A range frame on a double has no method of its own.
     frame = f"sum(_k.w) OVER (PARTITION BY rid, block_no, edge ORDER BY anchor RANGE BETWEEN {cluster!r}D PRECEDING AND {cluster!r}D FOLLOWING)"
     voted = near.withColumn("_score", F.expr(frame))
     dist = F.when(ahead < 0, -2 * ahead).otherwise(ahead)
-    best = voted.withColumn("_nth", F.row_number().over(by_edge.orderBy(F.desc("_score"), dist, "_k.o", "anchor", "pos"))).where("_nth = 1")
-    moved = best.select(*BLOCK, "edge", F.col("anchor").alias("_to"))
-    return edges.join(moved, [*BLOCK, "edge"], "left").select(*BLOCK, "edge", F.coalesce("_to", "t").alias("t"))
+    order = (F.col("anchor").isNull(), F.desc("_score"), dist, "_k.o", "anchor", "pos")
+    best = voted.withColumn("_nth", F.row_number().over(by_edge.orderBy(*order))).where("_nth = 1")
+    return best.select(*BLOCK, "edge", F.coalesce("anchor", "t").alias("t"))
 
 
 def snap(edges: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """Each edge to the nearest point (rid, t) within the radius, the earlier of two."""
-    return nearest(edges, points, "t", radius, "_s", [*BLOCK, "edge"]).select(*BLOCK, "edge", F.col("_s").alias("t"))
+    return nearest(edges, points, "t", radius, "_s", [*BLOCK, "edge"]).withColumnRenamed("_s", "t")
 
 
 def letterbox_snap(edges: DataFrame, events: DataFrame, radius: float, past: float = 5.0) -> DataFrame:
     """START: the earliest onset in [t - r, t + 5]; END: the latest offset in [t - 5, t + r]."""
     marks = events.where(F.col("kind").isin("onset", "offset")).select("rid", "kind", F.col("start_s").alias("_p"))
     most = max(radius, past)
-    near = within(edges, marks, F.col("t"), "_p", most, most)
+    near = within(edges, marks, F.col("t"), "_p", most, most, "left")
     d = F.col("_p") - F.col("t")
     start = (F.col("edge") == "START") & (F.col("kind") == "onset") & (d >= -radius) & (d <= past)
     end = (F.col("edge") == "END") & (F.col("kind") == "offset") & (d >= -past) & (d <= radius)
-    best = near.groupBy(*BLOCK, "edge").agg(F.coalesce(F.min(F.when(start, F.col("_p"))), F.max(F.when(end, F.col("_p")))).alias("_to"))
-    return edges.join(best, [*BLOCK, "edge"], "left").select(*BLOCK, "edge", F.coalesce("_to", "t").alias("t"))
+    return _moved(near, F.coalesce(F.min(F.when(start, F.col("_p"))), F.max(F.when(end, F.col("_p")))))
+
+
+def _moved(near: DataFrame, to: Column) -> DataFrame:
+    """Edges (with the rows found for each) at the aggregate ``to``, or where they are if that is null."""
+    return near.groupBy(*BLOCK, "edge").agg(F.coalesce(to, F.first("t")).alias("t"))
 
 
 def _frame_window(edges: DataFrame, frames: DataFrame, radius_s: float, fps: float) -> DataFrame:
-    """Edges with the frames (column i) of int(t * fps) +- int(r * fps)."""
+    """Edges with the frames (column i) of int(t * fps) +- int(r * fps), or with a null where there is none."""
     r = int(radius_s * fps)
-    return within(edges.withColumn("_c", (F.col("t") * fps).cast("bigint")), frames, F.col("_c"), "i", r, r)
+    return within(edges.withColumn("_c", (F.col("t") * fps).cast("bigint")), frames, F.col("_c"), "i", r, r, "left")
 
 
 def crossing_refine(edges: DataFrame, frames: DataFrame, threshold: float, radius_s: float, fps: float) -> DataFrame:
@@ -111,18 +119,15 @@ def crossing_refine(edges: DataFrame, frames: DataFrame, threshold: float, radiu
     turns = frames.withColumn("_now", F.col("logo") >= threshold).withColumn("_was", F.lag("_now").over(w)).where("_now <> _was").select("rid", F.col("idx").alias("i"), "_now")
     near = _frame_window(edges, turns, radius_s, fps)
     # The pair's left frame lies in the window too.
-    ok = near.where((F.col("i") - 1 >= F.col("_c") - int(radius_s * fps)) & (F.col("_now") == (F.col("edge") == "END")))
-    best = ok.groupBy(*BLOCK, "edge").agg(F.min_by("i", F.struct(F.abs(F.col("i") - F.col("_c")), F.col("i"))).alias("_i"))
-    return edges.join(best, [*BLOCK, "edge"], "left").select(*BLOCK, "edge", F.coalesce(F.col("_i") / fps, "t").alias("t"))
+    ok = (F.col("i") - 1 >= F.col("_c") - int(radius_s * fps)) & (F.col("_now") == (F.col("edge") == "END"))
+    return _moved(near, F.min_by("i", F.when(ok, F.struct(F.abs(F.col("i") - F.col("_c")), F.col("i")))) / fps)
 
 
 def bumper_snap(edges: DataFrame, frames: DataFrame, column: str, edge: str, threshold: float, radius_s: float, fps: float) -> DataFrame:
     """END: after the latest bumper frame of the window; START: at the earliest."""
     shown = frames.where(F.col(column) > threshold).select("rid", F.col("idx").alias("i"))
-    near = _frame_window(edges.where(F.col("edge") == edge), shown, radius_s, fps)
-    to = (F.max("i") + 1) / fps if edge == "END" else F.min("i") / fps
-    best = near.groupBy(*BLOCK, "edge").agg(to.alias("_to"))
-    return edges.join(best, [*BLOCK, "edge"], "left").select(*BLOCK, "edge", F.coalesce("_to", "t").alias("t"))
+    own = F.when(F.col("edge") == edge, F.col("i"))
+    return _moved(_frame_window(edges, shown, radius_s, fps), (F.max(own) + 1) / fps if edge == "END" else F.min(own) / fps)
 
 
 def long_enough(blocks: DataFrame, min_s: float) -> DataFrame:
@@ -144,24 +149,41 @@ def runaway_drop(blocks: DataFrame, durations: DataFrame, fraction: float) -> Da
 def split_long(blocks: DataFrame, blacks: DataFrame, max_s: float) -> DataFrame:
     """Blocks longer than max_s are cut at the black midpoint nearest to their middle, again and again.
 
-    Only open halves go round; a recording's midpoints travel with its blocks as one array.
+    A recording's blocks and midpoints meet as two arrays in one row; a cut looks its midpoint up by bisection, so the
+    blocks are formed once and each cut costs a logarithm of the midpoints.
     """
-    spark = blocks.sparkSession
     mids = blacks.groupBy("rid").agg(F.sort_array(F.collect_list((F.col("start_s") + F.col("end_s")) / 2)).alias("cs"))
-    view = f"split_{id(blocks):x}"
-    blocks.join(mids, "rid", "left").select("rid", "start_s", "end_s", F.coalesce("cs", F.array().cast("array<double>")).alias("cs")).createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE r(rid, s, e, cs) AS (
-          SELECT rid, start_s, end_s, cs FROM {view}
-          UNION ALL
-          SELECT rid, h.s, h.e, cs FROM (
-            SELECT rid, cs, explode(flatten(transform(
-                CASE WHEN e - s > {max_s!r}D THEN slice(array_sort(transform(filter(cs, a -> a > s AND a < e), a -> struct(abs(a - (s + e) / 2) AS d, a AS a))), 1, 1)
-                     ELSE array() END,
-                c -> array(struct(s AS s, c.a AS e), struct(c.a AS s, e AS e))))) AS h
-            FROM r))
-        SELECT rid, s AS start_s, e AS end_s FROM r
-        WHERE e - s <= {max_s!r}D OR size(filter(cs, a -> a > s AND a < e)) = 0""")
+    own = blocks.groupBy("rid").agg(F.collect_list(F.struct("start_s", "end_s")).alias("bs")).join(mids, "rid", "left")
+    kind = own.schema["rid"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, starts, ends = [], [], []
+            for i, (bs, cs) in enumerate(zip(batch.column("bs").to_pylist(), batch.column("cs").to_pylist(), strict=True)):
+                for s, e in cut_long([(b["start_s"], b["end_s"]) for b in bs], cs or [], max_s):
+                    which.append(i)
+                    starts.append(s)
+                    ends.append(e)
+            rids = batch.column("rid").take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rids, pa.array(starts, pa.float64()), pa.array(ends, pa.float64())], names=["rid", "start_s", "end_s"])
+
+    return own.select("rid", "bs", "cs").mapInArrow(run, f"rid {kind}, start_s double, end_s double")
+
+
+def cut_long(blocks: list[tuple[float, float]], mids: list[float], max_s: float) -> list[tuple[float, float]]:
+    """Blocks with those longer than max_s cut at the midpoint (of sorted ones) nearest to their middle, the earlier of two."""
+    out, todo = [], list(blocks)
+    while todo:
+        s, e = todo.pop()
+        lo, hi = bisect.bisect_right(mids, s), bisect.bisect_left(mids, e)
+        if e - s <= max_s or lo >= hi:
+            out.append((s, e))
+            continue
+        middle = (s + e) / 2
+        at = bisect.bisect_left(mids, middle, lo, hi)
+        c = min(mids[max(at - 1, lo) : min(at + 1, hi)], key=lambda m: (abs(m - middle), m))
+        todo += [(s, c), (c, e)]
+    return out
 
 
 def extend(blocks: DataFrame, durations: DataFrame, start_s: float, end_s: float, min_s: float) -> DataFrame:
@@ -214,10 +236,7 @@ def form(signals: DataFrame, events: DataFrame, options: Options) -> DataFrame:
 
 def two_tier_refine(edges: DataFrame, events: DataFrame, window: float) -> DataFrame:
     """The older refinement: the nearest black event's inner end within the window, else the nearest silence's."""
-    out = edges
-    for kind in ("silence", "black"):  # a later kind wins over an earlier one
-        own = events.where(F.col("kind") == kind).select("rid", F.explode(F.array(F.struct(F.lit("START").alias("side"), F.col("end_s").alias("a")), F.struct(F.lit("END").alias("side"), F.col("start_s").alias("a")))).alias("_x")).select("rid", "_x.side", "_x.a")
-        near = within(edges, own, F.col("t"), "a", window, window).where("edge = side")
-        best = near.groupBy(*BLOCK, "edge").agg(F.min_by("a", F.struct(F.abs(F.col("a") - F.col("t")), F.col("a"))).alias("_to"))
-        out = out.join(best, [*BLOCK, "edge"], "left").withColumn("t", F.coalesce("_to", "t")).drop("_to")
-    return out.select(*BLOCK, "edge", "t")
+    own = events.where(F.col("kind").isin("silence", "black")).select("rid", "kind", F.explode(F.array(F.struct(F.lit("START").alias("side"), F.col("end_s").alias("a")), F.struct(F.lit("END").alias("side"), F.col("start_s").alias("a")))).alias("_x")).select("rid", "kind", "_x.side", "_x.a")
+    near = within(edges, own, F.col("t"), "a", window, window, "left", F.col("edge") == F.col("side"))
+    best = F.min_by("a", F.when(F.col("a").isNotNull(), F.struct(F.col("kind") != "black", F.abs(F.col("a") - F.col("t")), F.col("a"))))
+    return _moved(near, best)

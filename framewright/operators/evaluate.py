@@ -45,6 +45,11 @@ def confusion(frames: DataFrame, group: str) -> DataFrame:
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def show_iou(ious: DataFrame, group: str) -> DataFrame:
+    """(group, n_recs, iou): mean over the recordings of each show and, with a null group, over all recordings."""
+    return ious.rollup(group).agg(F.count("*").alias("n_recs"), F.avg("iou").alias("iou"))
+
+
 def proximity(black: DataFrame, silence: DataFrame, most: float = 1.5, width: float = 10.0) -> DataFrame:
     """Each black interval with the silence nearest to it (negative gap: overlap): hull midpoint t, its width dur, gap."""
     s = silence.select("rid", F.col("start_s").alias("b_start"), F.col("end_s").alias("b_end"))

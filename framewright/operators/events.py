@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.operators.temporal import islands
+from framewright.operators.temporal import islands, within
 
 
 def black_runs(frames: DataFrame, fps: float, min_s: float) -> DataFrame:
@@ -33,6 +33,20 @@ def letterbox_transitions(frames: DataFrame, fps: float) -> DataFrame:
     return kept.where(F.col("_was").isNotNull() & (F.col("_was") != F.col("framed"))).select("rid", at.alias("idx"), (at / fps).alias("time_s"), F.col("framed").alias("onset"))
 
 
+def chunks_merged(events: DataFrame, chunks: DataFrame, fps: float) -> DataFrame:
+    """Events found in chunks of a recording (rid, chunk, kind, idx, time_s), in the recording's time.
+
+    chunks: (rid, chunk, start_s), the first being 0.  From the second chunk on, a scene cut at its frame 1 and a first
+    letterbox event before int(0.6 * fps) come from the cut itself and go.
+    """
+    first = Window.partitionBy("rid", "chunk").orderBy(F.when(F.col("kind").isin("onset", "offset"), 0).otherwise(1), "idx")
+    later = F.col("chunk") > 0
+    own = events.withColumn("_nth", F.row_number().over(first))
+    cut = later & (((F.col("kind") == "scene") & (F.col("idx") == 1)) | (F.col("kind").isin("onset", "offset") & (F.col("_nth") == 1) & (F.col("idx") < int(0.6 * fps))))
+    moved = own.where(~cut).join(chunks, ["rid", "chunk"])
+    return moved.select("rid", "kind", (F.col("idx") + F.round(F.col("start_s") * fps).cast("bigint")).alias("idx"), (F.col("time_s") + F.col("start_s")).alias("time_s"))
+
+
 def coalesced(events: DataFrame, gap: float) -> DataFrame:
     """Intervals of a recording with gaps of ``gap`` at most between them become one."""
     w = Window.partitionBy("rid").orderBy("start_s", "end_s")
@@ -52,10 +66,12 @@ def error_runs(frames: DataFrame, truth_edges: DataFrame, near_s: float = 10.0,
     """Runs of pred <> truth of ``least`` frames: type by the first frame, and whether an end lies near a truth edge."""
     wrong = islands(frames.withColumn("wrong", F.col("pred") != F.col("truth")), "wrong").where(F.col("wrong") & (F.col("n") >= least))
     typed = wrong.join(frames.select("rid", F.col("idx").alias("first"), "pred"), ["rid", "first"])
-    edges = truth_edges.groupBy("rid").agg(F.sort_array(F.collect_list("edge_s")).alias("_edges"))
     last = F.col("first") + F.col("n") - 1
-    near = F.exists("_edges", lambda e: F.least(F.abs(e - F.col("first")), F.abs(e - last)) < near_s)
-    out = typed.join(edges, "rid", "left").select(
-        "rid", F.col("first").alias("start_idx"), last.alias("end_idx"), "n", F.when(F.col("pred") == 1, "FP").otherwise("FN").alias("kind"), F.coalesce(near, F.lit(False)).alias("boundary")
+    # Both ends of a run look for an edge; a run without one comes through the left join.
+    ends = typed.withColumn("_end", F.explode(F.array(F.col("first"), last)))
+    met = within(ends, truth_edges.select("rid", F.col("edge_s").alias("_edge")), F.col("_end"), "_edge", near_s, near_s, "left")
+    near = F.coalesce(F.bool_or(F.abs(F.col("_edge") - F.col("_end")) < near_s), F.lit(False))
+    out = met.groupBy("rid", "first", "n", "pred").agg(near.alias("boundary")).select(
+        "rid", F.col("first").alias("start_idx"), last.alias("end_idx"), "n", F.when(F.col("pred") == 1, "FP").otherwise("FN").alias("kind"), "boundary"
     )
     return out if most is None else out.withColumn("_k", F.row_number().over(Window.partitionBy("rid").orderBy("start_idx"))).where(F.col("_k") <= most).drop("_k")

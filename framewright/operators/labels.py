@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.operators.temporal import overlapping
+from framewright.operators.temporal import covered, overlapping, within
 
 
-def labelled(frames: DataFrame, blocks: DataFrame, at: str = "time_s", half_open: bool = False, out: str = "label") -> DataFrame:
-    """out = 1 on frames inside a block: both ends inclusive, or half-open.  A recording's blocks travel as one array."""
-    own = blocks.groupBy("rid").agg(F.collect_list(F.struct("start_s", "end_s")).alias("_b"))
-    t = F.col(at)
-    inside = F.exists("_b", lambda b: (t >= b["start_s"]) & ((t < b["end_s"]) if half_open else (t <= b["end_s"])))
-    return frames.join(own, "rid", "left").withColumn(out, F.coalesce(inside, F.lit(False)).cast("int")).drop("_b")
+def labelled(frames: DataFrame, blocks: DataFrame, at: str = "time_s", half_open: bool = False, out: str = "label", width: float = 60.0) -> DataFrame:
+    """out = 1 on frames inside a block: both ends inclusive, or half-open."""
+    return covered(frames, blocks, at, width, out, half_open).withColumn(out, F.col(out).cast("int"))
 
 
 def smart_merge(auto: DataFrame, user: DataFrame, deleted: DataFrame, width: float = 60.0) -> DataFrame:
@@ -87,6 +84,6 @@ def in_test(uuid: Column, fraction: float) -> Column:
 
 def bumper_boost(frames: DataFrame, edges: DataFrame, bumpers: DataFrame, reach: float = 2.0) -> DataFrame:
     """boosted: the frame lies within reach of a boundary that has a bumper within reach."""
-    near = edges.join(bumpers.groupBy("rid").agg(F.collect_list("t").alias("_t")), "rid").where(F.exists("_t", lambda t: F.abs(t - F.col("edge_s")) <= reach))
-    own = near.groupBy("rid").agg(F.collect_list("edge_s").alias("_e"))
-    return frames.join(own, "rid", "left").withColumn("boosted", F.coalesce(F.exists("_e", lambda e: F.abs(e - F.col("time_s")) <= reach), F.lit(False))).drop("_e")
+    near = within(edges, bumpers.select("rid", F.col("t").alias("_t")), F.col("edge_s"), "_t", reach, reach)
+    around = near.select("rid", (F.col("edge_s") - reach).alias("start_s"), (F.col("edge_s") + reach).alias("end_s")).distinct()
+    return covered(frames, around, "time_s", max(4 * reach, 1.0), "boosted")

@@ -77,3 +77,12 @@ def fit_platt(frames: DataFrame, logit: str = "logit", label: str = "label"):
     """Calibration: a nearly unpenalised regression on one logit; returns (slope, intercept)."""
     m = fit_head(frames.select(F.array(F.col(logit).cast("double")).alias("features"), label, F.lit(1.0).alias("weight")), c=1e6, label=label)
     return float(m.coefficients[0]), float(m.intercept)
+
+
+def calibration(frames: DataFrame, logit: str = "logit", label: str = "label") -> DataFrame:
+    """One row of a held-out set's calibration: slope a, intercept b, frames, recordings (rid), Brier score before and after."""
+    a, b = fit_platt(frames, logit, label)
+    off = lambda p: F.pow(p - F.col(label), 2)
+    z = F.col(logit)
+    scores = frames.agg(F.count("*").alias("n_frames"), F.count_distinct("rid").alias("n_recs"), F.avg(off(sigmoid(z))).alias("brier_raw"), F.avg(off(sigmoid(a * z + b))).alias("brier_calibrated"))
+    return scores.select(F.lit("platt").alias("method"), F.lit(a).alias("a"), F.lit(b).alias("b"), "*", (F.col("brier_raw") - F.col("brier_calibrated")).alias("improvement"))

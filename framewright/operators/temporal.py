@@ -23,17 +23,18 @@ def rolling_mean(df: DataFrame, column: str, half: int, out: str, order: str = "
     return df.withColumn(out, F.avg(column).over(w))
 
 
-def within(edges: DataFrame, points: DataFrame, at: Column, point: str, before: float, after: float, how: str = "inner", key: str = "rid") -> DataFrame:
-    """edges joined to the points of their recording with at - before <= point <= at + after.
+def within(edges: DataFrame, points: DataFrame, at: Column, point: str, before: float, after: float, how: str = "inner", also: Column | None = None, key: str = "rid") -> DataFrame:
+    """edges joined to the points of their recording with at - before <= point <= at + after, and what ``also`` asks.
 
-    points' columns, but for the key, must not clash with those of edges.
+    points' columns, but for the key, must not clash with those of edges.  With how "left" an edge has a row of nulls for
+    each bucket of its window that holds no point of it.
     """
     width = max(before + after, 1e-9)
     e = edges.withColumn("_lo", at - F.lit(before)).withColumn("_hi", at + F.lit(after))
     e = e.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
     p = points.withColumnRenamed(key, "_key").withColumn("_at", F.floor(F.col(point) / width))
     on = (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_at")) & (F.col(point) >= F.col("_lo")) & (F.col(point) <= F.col("_hi"))
-    return e.join(p, on, how).drop("_key", "_bucket", "_at", "_lo", "_hi")
+    return e.join(p, on if also is None else on & also, how).drop("_key", "_bucket", "_at", "_lo", "_hi")
 
 
 def overlapping(a: DataFrame, b: DataFrame, width: float, key: str = "rid", slack: float = 0.0) -> DataFrame:
@@ -50,7 +51,25 @@ def overlapping(a: DataFrame, b: DataFrame, width: float, key: str = "rid", slac
 
 
 def nearest(edges: DataFrame, points: DataFrame, at: str, radius: float, out: str, id_: list[str]) -> DataFrame:
-    """edges with ``out``: the point (column t) nearest to ``at`` within the radius, the earlier of two; else at."""
-    found = within(edges, points.select("rid", F.col("t").alias("_t")), F.col(at), "_t", radius, radius)
-    best = found.groupBy(*id_).agg(F.min_by("_t", F.struct(F.abs(F.col("_t") - F.col(at)), F.col("_t"))).alias("_best"))
-    return edges.join(best, id_, "left").withColumn(out, F.coalesce("_best", F.col(at))).drop("_best")
+    """(id_, out): the point (column t) nearest to ``at`` within the radius, the earlier of two; else at.
+
+    edges are read once: one without points comes through the left join, so nothing is joined back.
+    """
+    found = within(edges, points.select("rid", F.col("t").alias("_t")), F.col(at), "_t", radius, radius, "left")
+    by = F.when(F.col("_t").isNotNull(), F.struct(F.abs(F.col("_t") - F.col(at)), F.col("_t")))
+    return found.groupBy(*id_).agg(F.coalesce(F.min_by("_t", by), F.first(at)).alias(out))
+
+
+def covered(points: DataFrame, intervals: DataFrame, at: str, width: float, out: str, half_open: bool = False, key: str = "rid") -> DataFrame:
+    """points with ``out``: whether ``at`` lies in an interval (start_s, end_s) of its recording, ends included or half-open.
+
+    Intervals that touch become one first, so a point meets one row at most, by the bucket of ``width`` that it is in.
+    """
+    by = Window.partitionBy(key).orderBy("start_s", "end_s")
+    reach = F.max("end_s").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.sum(F.when(F.col("start_s") <= reach, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    whole = intervals.withColumn("_part", part).groupBy(key, "_part").agg(F.min("start_s").alias("_s"), F.max("end_s").alias("_e"))
+    own = whole.select(F.col(key).alias("_key"), "_s", "_e", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))).alias("_bucket"))
+    t = F.col(at)
+    on = (F.col(key) == F.col("_key")) & (F.floor(t / width) == F.col("_bucket")) & (t >= F.col("_s")) & ((t < F.col("_e")) if half_open else (t <= F.col("_e")))
+    return points.join(own, on, "left").withColumn(out, F.col("_s").isNotNull()).drop("_key", "_s", "_e", "_bucket")

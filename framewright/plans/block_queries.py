@@ -153,10 +153,39 @@ def b18(spark, d):
 OPTIONS = Options(fps=1.0, min_block_s=8, max_block_s=60, max_block_fraction=0.5, min_show_segment_s=6, min_absent_open_s=3, logo_threshold=0.43, refine_window_s=4, max_ad_gap_s=10, letterbox_snap_s=3, iframe_snap_s=5, logo_smooth_s=24, nn_weight=0.0, logo_cross_refine_s=2)
 
 
-@query("form_full")
+def _stage_sql(nth: int, near: str, to: str) -> str:
+    """CTEs that take the edges e<nth - 1> to e<nth>: near finds candidates (p) for each, to is what becomes of them."""
+    e = f"e{nth - 1}"
+    return f"""n{nth} AS ({near.format(e=e)}),
+e{nth} AS (SELECT e.rid, e.block_no, e.edge, coalesce(b.p, e.t) AS t FROM {e} e LEFT JOIN (SELECT rid, block_no, edge, {to} AS p FROM n{nth} GROUP BY rid, block_no, edge) b USING (rid, block_no, edge))"""
+
+
+FORM = ",\n".join([
+    "e0 AS (SELECT * FROM edges)",
+    _stage_sql(1, """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid, block_no, edge ORDER BY score DESC, CASE WHEN ahead < 0 THEN -2 * ahead ELSE ahead END, o, p, pos) AS k FROM
+ (SELECT *, sum(w) OVER (PARTITION BY rid, block_no, edge ORDER BY p RANGE BETWEEN 2.0 PRECEDING AND 2.0 FOLLOWING) AS score FROM
+ (SELECT e.*, c.anchor AS p, c.o, c.w, c.pos, CASE WHEN edge = 'START' THEN anchor - t ELSE t - anchor END AS ahead FROM {e} e JOIN cand c ON e.rid = c.rid AND e.edge = c.side AND abs(anchor - t) <= 4.0) WHERE ahead >= -4.0)) WHERE k = 1""", "any_value(p)"),
+    _stage_sql(2, "SELECT e.*, f.time_s AS p FROM {e} e JOIN frames f ON e.rid = f.rid AND f.idx % 12 = 0 AND abs(f.time_s - e.t) <= 5", "arg_min(p, struct_pack(d := abs(p - t), p := p))"),
+    _stage_sql(3, "SELECT e.*, s.start_s AS p FROM {e} e JOIN sig s ON e.rid = s.rid AND ((edge = 'START' AND kind = 'onset' AND s.start_s BETWEEN e.t - 3 AND e.t + 5) OR (edge = 'END' AND kind = 'offset' AND s.start_s BETWEEN e.t - 5 AND e.t + 3))", "CASE WHEN edge = 'START' THEN min(p) ELSE max(p) END"),
+    "turns AS (SELECT rid, idx AS i, now FROM (SELECT rid, idx, s >= 0.43 AS now, lag(s >= 0.43) OVER (PARTITION BY rid ORDER BY idx) AS was FROM sm) WHERE now <> was)",
+    _stage_sql(4, "SELECT e.*, i::DOUBLE AS p FROM {e} e JOIN turns c ON e.rid = c.rid AND i BETWEEN trunc(t) - 2 AND trunc(t) + 2 AND i - 1 >= trunc(t) - 2 AND now = (edge = 'END')", "arg_min(p, struct_pack(d := abs(p - trunc(t)), p := p))"),
+    "bl AS (SELECT rid, block_no, max(t) FILTER (edge = 'START') AS s, max(t) FILTER (edge = 'END') AS e FROM e4 GROUP BY rid, block_no)",
+    "lo AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY s, e) AS nth FROM bl WHERE e - s >= 8)",
+    "gm AS (SELECT *, sum(CASE WHEN gap <= 10 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY nth) AS g FROM (SELECT *, s - lag(e) OVER (PARTITION BY rid ORDER BY nth) AS gap FROM lo))",
+    "ga AS (SELECT rid, g, arg_min(s, nth) AS s, arg_max(e, nth) AS e FROM gm GROUP BY rid, g)",
+    "ru AS (SELECT ga.rid, s, e FROM ga JOIN nf USING (rid) WHERE NOT e - s > 0.5 * duration_s)",
+    "cs AS (SELECT rid, (start_s + end_s) / 2 AS c FROM sig WHERE kind = 'black')",
+    """sp AS (SELECT rid, s, e FROM ru UNION ALL
+ SELECT rid, CASE WHEN h = 0 THEN s ELSE c END, CASE WHEN h = 0 THEN c ELSE e END FROM (SELECT sp.rid, s, e, (SELECT arg_min(c, struct_pack(d := abs(c - (s + e) / 2), c := c)) FROM cs WHERE cs.rid = sp.rid AND c > s AND c < e) AS c FROM sp WHERE e - s > 60), (VALUES (0), (1)) v(h) WHERE c IS NOT NULL)""",
+])
+
+
+@query("form_full", sql(FRAMES, BLOCKS, SIG, VOTE.split(",\nnear AS")[0], FORM, recursive=True, select="""SELECT rid, (row_number() OVER (PARTITION BY rid ORDER BY s, e) - 1)::BIGINT AS block_no, round(s, 6) AS start_s, round(e, 6) AS end_s FROM sp
+ WHERE e - s <= 60 OR NOT EXISTS (SELECT 1 FROM cs WHERE cs.rid = sp.rid AND c > s AND c < e)"""))
 def form_full(spark, d):
     e = events(spark, d).unionByName(frames(spark, d).where("idx % 12 = 0").select("rid", F.lit("iframe").alias("kind"), F.col("time_s").alias("start_s"), F.col("time_s").alias("end_s"), F.col("idx").alias("pos")))
-    return B.form(frames(spark, d).select("rid", "idx", "time_s", "logo"), e, OPTIONS)
+    out = B.form(frames(spark, d).select("rid", "idx", "time_s", "logo"), e, OPTIONS)
+    return out.select("rid", "block_no", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
 
 
 @query("e1_black_runs", sql(FRAMES, "f AS (SELECT rid, idx, value < 20 AS b FROM frames)", select="""SELECT rid, min(idx) / 25.0 AS start_s, (min(idx) + count(*)) / 25.0 AS end_s, round((min(idx) + count(*)) / 25.0 - min(idx) / 25.0, 9) AS duration_s
@@ -196,14 +225,26 @@ RECORDINGS = "rec AS (SELECT rid, 25.0::DOUBLE AS fps, 720 AS width, 576 AS heig
 
 
 def recordings(spark, d):
-    return frames(spark, d).groupBy("rid").agg(F.count("*").alias("frame_count")).select("rid", F.lit(25.0).alias("fps"), F.lit(720).alias("width"), F.lit(576).alias("height"), "frame_count")
+    return frames(spark, d).groupBy("rid").agg(F.count("*").alias("frame_count")).select("rid", F.lit(25.0).alias("fps"), F.lit(720).alias("width"), F.lit(576).alias("height"), "frame_count", F.lit(0.5).alias("elapsed_s"))
 
 
-@query("k1_summary_json")
+@query("k1_summary_json", sql(FRAMES, BLOCKS, RECORDINGS, select="""SELECT r.rid, '{"fps":25.0,"width":720,"height":576,"frame_count":' || frame_count || ',"duration_s":' || frame_count / fps || ',"blocks":[' || coalesce(string_agg('[' || start_s || ',' || end_s || ']', ',' ORDER BY start_s), '')
+ || ']' || ',"stats":{"elapsed_s":0.5,"fps_proc":' || (frame_count * 2)::DOUBLE || '}}' AS value FROM rec r LEFT JOIN blocks b ON r.rid = b.rid GROUP BY r.rid, frame_count, fps"""))
 def k1(spark, d):
     return sinks.summaries(recordings(spark, d), blocks(spark, d))
 
 
+@query("k3_scene_listing", sql(FRAMES, select="SELECT rid, time_s, printf('scene frame=%d t=%.3f dist=%.3f', idx, time_s, nn) AS value FROM frames WHERE event_type = 'click'"))
+def k3_scene(spark, d):
+    cuts = frames(spark, d).where("event_type = 'click'")
+    return sinks.scene_listing(cuts.select("rid", "idx", "time_s", F.col("nn").alias("distance")))
+
+
+@query("k9_json_lines", sql(FRAMES, select="""SELECT rid, idx, '{"idx":' || idx || ',"event_type":"' || event_type || '","truth":' || truth || '}' AS value FROM frames"""))
+def k9(spark, d):
+    return sinks.json_lines(frames(spark, d), "idx", "event_type", "truth")
+
+
 @query("k2_cutlist", sql(FRAMES, BLOCKS, RECORDINGS, select="""SELECT r.rid, 'FILE PROCESSING COMPLETE  ' || frame_count || ' FRAMES AT  2500' || chr(10) || '-------------------' || coalesce(string_agg(chr(10) || floor(start_s * 25 + 0.5)::BIGINT || chr(9) || floor(end_s * 25 + 0.5)::BIGINT, '' ORDER BY start_s), '') AS value
  FROM rec r LEFT JOIN blocks b ON r.rid = b.rid GROUP BY r.rid, frame_count"""))
 def k2(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from framewright.operators import labels as L
 from framewright.operators import model as M
 from framewright.operators import pixels as P
 from framewright.operators import speaker as S
-from framewright.plans.views import FRAMES, PIX, SIG, _read, events, frames, image, runs_sql, sql, truth
+from framewright.plans.views import FRAMES, PIX, SIDE, SIG, _read, events, frames, image, runs_sql, sql, truth
 from framewright.sources import logs
 
 QUERIES: dict = {}
@@ -40,12 +41,16 @@ def p1(spark, d):
 
 @query("p2_black_frame", sql(PIX, select="SELECT frame, count(*) FILTER (v <= 128) >= 0.5 * count(*) AS black FROM pix GROUP BY frame"))
 def p2(spark, d):
-    return P.black_frames(image(spark, d), 0.5, 0.5).drop("rid")
+    return P.measured(image(spark, d), SIDE, SIDE, P.black(0.5, 0.5)).drop("rid")
+
+
+def histograms(spark, d):
+    return P.measured(image(spark, d), SIDE, SIDE, P.histogram())
 
 
 @query("p3_rgb_hist", sql(PIX, select="SELECT frame, ((v >> 5) << 6) | ((v >> 5) << 3) | (v >> 5) AS bin, count(*) / 64.0 AS p FROM pix GROUP BY ALL"))
 def p3(spark, d):
-    return P.colour_histogram(image(spark, d)).drop("rid")
+    return P.colour_shares(histograms(spark, d)).drop("rid")
 
 
 DIST = """h AS (SELECT frame, v >> 5 AS b, count(*) / 64.0 AS p FROM pix GROUP BY ALL),
@@ -55,14 +60,12 @@ dist AS (SELECT f.frame, 1 - least(1.0, coalesce(sum(sqrt(a.p * q.p)), 0)) AS di
 
 @query("p4_bhattacharyya", sql(PIX, DIST, select="SELECT frame, round(distance, 9) AS distance FROM dist"))
 def p4(spark, d):
-    img = image(spark, d)
-    return P.frame_distances(P.colour_histogram(img), img.select("rid", "frame").distinct()).select("frame", F.round("distance", 9).alias("distance"))
+    return P.frame_distances(histograms(spark, d)).select("frame", F.round("distance", 9).alias("distance"))
 
 
 @query("e2_scene_cuts", sql(PIX, DIST, select="SELECT frame AS idx, frame / 25.0 AS time_s, round(distance, 9) AS distance FROM dist WHERE distance > 0.0301"))
 def e2(spark, d):
-    img = image(spark, d)
-    dist = P.frame_distances(P.colour_histogram(img), img.select("rid", "frame").distinct()).withColumnRenamed("frame", "idx")
+    dist = P.frame_distances(histograms(spark, d)).withColumnRenamed("frame", "idx")
     return E.scene_cuts(dist, 25.0, 0.0301).drop("rid").withColumn("distance", F.round("distance", 9))
 
 
@@ -72,26 +75,25 @@ SOBEL = """sob AS (SELECT c.frame, c.x, c.y, sum(n.v * (n.x - c.x) * CASE WHEN n
 
 @query("p5_sobel", sql(PIX, SOBEL, select="SELECT frame, x, y, gx, gy, abs(gx) + abs(gy) AS magnitude FROM sob"))
 def p5(spark, d):
-    return P.sobel(image(spark, d)).drop("rid")
+    return P.sobel(image(spark, d), SIDE, SIDE).drop("rid")
 
 
 @query("p6_logo_conf", sql(PIX, SOBEL, select="SELECT frame, count(*) FILTER (abs(gx) + abs(gy) > 80 AND (x + y) % 2 = 0 AND y >= 2) / 28.0 AS confidence FROM sob GROUP BY frame"))
 def p6(spark, d):
-    img = image(spark, d)
-    cells = spark.range(64).select((F.col("id") % 8).cast("int").alias("x"), F.floor(F.col("id") / 8).cast("int").alias("y")).where("(x + y) % 2 = 1 AND y >= 1")
-    return P.logo_confidence(P.sobel(img), cells, img, 80, 1).drop("rid")
+    cells = np.array([(x, y) for y in range(1, SIDE) for x in range(SIDE) if (x + y) % 2])
+    return P.measured(image(spark, d), SIDE, SIDE, P.logo(cells, 80, 1)).drop("rid")
 
 
 @query("p7_bumper_iou", sql(PIX, "w AS (SELECT frame, i, v > 120 AS on_ FROM pix)", select="""SELECT frame, max(iou) AS iou FROM (SELECT a.frame, t.frame AS k, coalesce(round(count(*) FILTER (a.on_ AND t.on_) / nullif(count(*) FILTER (a.on_ OR t.on_), 0), 9), 0) AS iou
  FROM w a JOIN w t USING (i) WHERE t.frame < 3 GROUP BY ALL) GROUP BY frame"""))
 def p7(spark, d):
-    bits = P.packed_white(image(spark, d), 120)
+    bits = P.measured(image(spark, d), SIDE, SIDE, P.white(120))
     return P.bumper_iou(bits, bits.where("frame < 3").select(F.col("words").alias("mask"))).select("frame", F.round("iou", 9).alias("iou"))
 
 
 @query("p8_letterbox_frame", sql(PIX, select="SELECT frame, count(*) FILTER (y < 2 AND v <= 130) >= floor(16 * 0.5) AND count(*) FILTER (y >= 6 AND v <= 130) >= floor(16 * 0.5) AS framed FROM pix GROUP BY frame"))
 def p8(spark, d):
-    return P.letterbox_framed(image(spark, d), 8, 2, 130, 0.5).drop("rid")
+    return P.measured(image(spark, d), SIDE, SIDE, P.letterbox(2, 130, 0.5)).drop("rid")
 
 
 COUNTS = "ec AS (SELECT x, y, count(*) FILTER (abs(gx) > 40) AS h, count(*) FILTER (abs(gy) > 40) AS v FROM sob GROUP BY x, y)"
@@ -99,28 +101,29 @@ COUNTS = "ec AS (SELECT x, y, count(*) FILTER (abs(gx) > 40) AS h, count(*) FILT
 
 @query("a3_edge_counts", sql(PIX, SOBEL, COUNTS, select="SELECT * FROM ec"))
 def a3(spark, d):
-    return P.edge_counts(P.sobel(image(spark, d)), 40)
+    return P.edge_counts(image(spark, d), SIDE, SIDE, 40)
+
+
+def pictures(spark, d):
+    """How many pictures there are, as a number that the plan finds."""
+    return _read(spark, d, "embeddings").agg(F.count("*")).scalar()
 
 
 @query("a4_bbox", sql(PIX, SOBEL, COUNTS, "n AS (SELECT count(DISTINCT frame) AS n FROM pix)", select="SELECT greatest(min(x) - 1, 0) AS min_x, least(max(x) + 1, 7) AS max_x, greatest(min(y) - 1, 0) AS min_y, least(max(y) + 1, 7) AS max_y, count(*) AS edges FROM ec, n WHERE greatest(h, v) >= floor(n * 0.5)"))
 def a4(spark, d):
-    img = image(spark, d)
-    n = img.select("frame").distinct().count()
-    return P.bounding_box(P.edge_counts(P.sobel(img), 40), n, 0.5, 1, 8, 8)
+    return P.bounding_box(P.edge_counts(image(spark, d), SIDE, SIDE, 40), pictures(spark, d), 0.5, 1, SIDE, SIDE)
 
 
 @query("a5_persistence_sweep", sql("ps AS (SELECT 0 AS step, 0.3::DOUBLE AS p UNION ALL SELECT step + 1, p + 0.02::DOUBLE FROM ps WHERE p + 0.02::DOUBLE < 1)", PIX, SOBEL, COUNTS, "n AS (SELECT count(DISTINCT frame) AS n FROM pix)",
     "bx AS (SELECT step, p AS persistence, greatest(min(x) - 1, 0) AS min_x, least(max(x) + 1, 7) AS max_x, greatest(min(y) - 1, 0) AS min_y, least(max(y) + 1, 7) AS max_y, count(*) AS edges FROM ps, n, ec WHERE greatest(h, v) >= trunc(n * p) GROUP BY step, p)",
     recursive=True, select="SELECT round(persistence, 9) AS persistence, min_x, max_x, min_y, max_y, edges, area FROM (SELECT *, (max_x - min_x + 1) * (max_y - min_y + 1) AS area FROM bx) ORDER BY area > 49, CASE WHEN area <= 49 THEN step ELSE -step END LIMIT 1"))
 def a5(spark, d):
-    img = image(spark, d)
-    n = img.select("frame").distinct().count()
-    return P.persistence_sweep(P.edge_counts(P.sobel(img), 40), n, 0.3, 49, 1, 8, 8).withColumn("persistence", F.round("persistence", 9))
+    return P.persistence_sweep(P.edge_counts(image(spark, d), SIDE, SIDE, 40), pictures(spark, d), 0.3, 49, 1, SIDE, SIDE).withColumn("persistence", F.round("persistence", 9))
 
 
 @query("t1_top_pixels", sql(PIX, SOBEL, COUNTS, select="SELECT *, greatest(h, v) AS score FROM ec WHERE greatest(h, v) > 0 ORDER BY score DESC, y, x LIMIT 10"))
 def t1(spark, d):
-    return P.top_pixels(P.edge_counts(P.sobel(image(spark, d)), 40), 10)
+    return P.top_pixels(P.edge_counts(image(spark, d), SIDE, SIDE, 40), 10)
 
 
 # ---- parsers
@@ -203,23 +206,13 @@ def s18(spark, d):
 SLUG = "regexp_replace(regexp_replace({}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@query("slug_a", "SELECT doc_id, " + SLUG.format("replace(replace(replace(replace(lower(text[1:80]), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')") + " AS slug FROM documents")
+@query("slug_a", "SELECT doc_id, " + SLUG.format("replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')") + " AS slug FROM documents")
 def slug_a(spark, d):
-    return _read(spark, d, "documents").select("doc_id", X.slug(F.substring("text", 1, 80)).alias("slug"))
-
-
-@query("slug_b", "SELECT doc_id, " + SLUG.format("lower(text[1:80])") + " AS slug FROM documents")
-def slug_b(spark, d):
-    return _read(spark, d, "documents").select("doc_id", X.plain_slug(F.substring("text", 1, 80)).alias("slug"))
-
-
-@query("slug_a_whole", "SELECT doc_id, " + SLUG.format("replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')") + " AS slug FROM documents")
-def slug_a_whole(spark, d):
     return _read(spark, d, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
-@query("slug_b_whole", "SELECT doc_id, " + SLUG.format("lower(text)") + " AS slug FROM documents")
-def slug_b_whole(spark, d):
+@query("slug_b", "SELECT doc_id, " + SLUG.format("lower(text)") + " AS slug FROM documents")
+def slug_b(spark, d):
     return _read(spark, d, "documents").select("doc_id", X.plain_slug(F.col("text")).alias("slug"))
 
 
@@ -296,13 +289,8 @@ def j12(spark, d):
     return _read(spark, d, "customer").join(done, "c_custkey", "left_anti").select("c_custkey").orderBy("c_custkey").limit(50)
 
 
-@query("j13_zip_compare", sql(FRAMES, T, PR, "a AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY start_s) AS k, count(*) OVER (PARTITION BY rid) AS n FROM t WHERE start_s < 100)", "b AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY start_s) AS k, count(*) OVER (PARTITION BY rid) AS n FROM p WHERE start_s < 100)", select="SELECT a.rid, a.k AS block_no, a.start_s - b.start_s AS d_start, a.end_s - b.end_s AS d_end FROM a JOIN b USING (rid, k, n)"))
+@query("j13_zip_compare", sql(FRAMES, T, PR, "a AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY start_s, end_s) AS k, count(*) OVER (PARTITION BY rid) AS n FROM t)", "b AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY start_s, end_s) AS k, count(*) OVER (PARTITION BY rid) AS n FROM p)", "c AS (SELECT rid, coalesce(x.n, 0) AS n_truth, coalesce(y.n, 0) AS n_other FROM (SELECT rid, count(*) AS n FROM t GROUP BY rid) x FULL JOIN (SELECT rid, count(*) AS n FROM p GROUP BY rid) y USING (rid))", "z AS (SELECT a.rid, a.k AS block_no, a.start_s - b.start_s AS d_start, a.end_s - b.end_s AS d_end FROM a JOIN b USING (rid, k, n))", select="SELECT rid, coalesce(block_no, 0) AS block_no, d_start, d_end, n_truth, n_other FROM c LEFT JOIN z USING (rid)"))
 def j13(spark, d):
-    return V.zipped(truth(spark, d).where("start_s < 100"), truth(spark, d, "pred").where("start_s < 100"))
-
-
-@query("j13_zip_compare_whole", sql(FRAMES, T, PR, "a AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY start_s, end_s) AS k, count(*) OVER (PARTITION BY rid) AS n FROM t)", "b AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY start_s, end_s) AS k, count(*) OVER (PARTITION BY rid) AS n FROM p)", "c AS (SELECT rid, coalesce(x.n, 0) AS n_truth, coalesce(y.n, 0) AS n_other FROM (SELECT rid, count(*) AS n FROM t GROUP BY rid) x FULL JOIN (SELECT rid, count(*) AS n FROM p GROUP BY rid) y USING (rid))", "z AS (SELECT a.rid, a.k AS block_no, a.start_s - b.start_s AS d_start, a.end_s - b.end_s AS d_end FROM a JOIN b USING (rid, k, n))", select="SELECT rid, coalesce(block_no, 0) AS block_no, d_start, d_end, n_truth, n_other FROM c LEFT JOIN z USING (rid)"))
-def j13_whole(spark, d):
     return V.zipped_or_counts(truth(spark, d), truth(spark, d, "pred"))
 
 
@@ -465,11 +453,24 @@ def p12(spark, d):
     return _read(spark, d, "events").select("event_id", F.aggregate(F.zip_with(hot, F.array(F.lit(1), F.lit(2), F.lit(4)), lambda a, b: a.cast("int") * b), F.lit(0), lambda s, x: s + x).alias("code"))
 
 
+def chunks(spark, d, vectors):
+    """(rid, first, samples): the embeddings of a label in a row as sound, some vectors to a chunk."""
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    e = _read(spark, d, "embeddings").select("label", "embedding", nth.cast("bigint").alias("nth"))
+    parts = e.groupBy(F.col("label").alias("rid"), F.floor(F.col("nth") / vectors).alias("chunk")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "embedding"))), lambda x: x["embedding"])).alias("samples"))
+    return parts.select("rid", (F.col("chunk") * vectors * 64).alias("first"), "samples")
+
+
 @query("p13_vad", sql("s AS (SELECT label AS rid, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS i, e::DOUBLE AS x FROM (SELECT label, vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings))", select="SELECT rid, i // 50 AS frame, sqrt(avg(x * x)) > 0.1251 AND count(*) = 50 AS speech FROM s GROUP BY ALL"))
 def p13(spark, d):
-    e = _read(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "e"))
-    s = e.select(F.col("label").alias("rid"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id", "i")) - 1).cast("bigint").alias("i"), F.col("e").cast("double").alias("x"))
-    return S.voice_activity(s, 50, 0.1251)
+    return S.voice_activity(chunks(spark, d, 25), 50, 0.1251)
+
+
+@query("p13_speaking_windows", sql("s AS (SELECT label AS rid, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS i, e::DOUBLE AS x FROM (SELECT label, vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings))",
+    "f AS (SELECT rid, i // 50 AS frame, sqrt(avg(x * x)) > 0.1251 AND count(*) = 50 AS speech FROM s GROUP BY ALL)", "n AS (SELECT rid, (max(frame) + 1) * 50 AS n FROM f GROUP BY rid)", "w AS (SELECT rid, unnest(range((n - 130) // 70 + 1)) AS w FROM n WHERE n >= 130)",
+    select="SELECT w.rid, w.w, sum(CASE WHEN speech THEN least(frame * 50 + 50, w * 70 + 130) - greatest(frame * 50, w * 70) ELSE 0 END) >= 65 AS has_speech FROM w JOIN f ON f.rid = w.rid AND frame * 50 < w * 70 + 130 AND frame * 50 + 50 > w * 70 GROUP BY ALL"))
+def p13_windows(spark, d):
+    return S.speaking_windows(S.voice_activity(chunks(spark, d, 25), 50, 0.1251), 130, 70, 50)
 
 
 @query("p16_pair_average", sql("s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)", select="SELECT vec_id // 2 AS sec, i - 1 AS dim, round(avg(e), 9) AS value FROM s GROUP BY ALL HAVING count(*) = 2"))
@@ -515,9 +516,8 @@ def j10(spark, d):
 def k4(spark, d):
     from framewright.sinks import template_rows
 
-    img = image(spark, d)
-    half = img.select("frame").distinct().count() // 2
-    return template_rows(P.edge_counts(P.sobel(img), 40), half, 1, 6, 1, 6).select(F.col("y").cast("bigint").alias("y"), "value")
+    half = F.floor(pictures(spark, d) / 2)
+    return template_rows(P.edge_counts(image(spark, d), SIDE, SIDE, 40), half, 1, 6, 1, 6).select(F.col("y").cast("bigint").alias("y"), "value")
 
 
 @query("k5_speaker_csv", sql(FRAMES, select="SELECT rid, printf('%.3f', time_s) || ',' || printf('%.4f', speaker) || ',' || (nn > 0.3)::INT AS value FROM frames"))
@@ -530,7 +530,68 @@ def k5(spark, d):
 @query("p14_window_embeddings", sql("s AS (SELECT label AS rid, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS i, e::DOUBLE AS x FROM (SELECT label, vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings))", "n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid)", "w AS (SELECT rid, unnest(range((n - 64) // 32 + 1)) AS w FROM n WHERE n >= 64)",
     "m AS (SELECT w.rid, w.w, avg(x) AS a, max(x) AS b FROM w JOIN s ON s.rid = w.rid AND s.i >= 32 * w.w AND s.i < 32 * w.w + 64 GROUP BY ALL)", select="SELECT rid, w, round(a / sqrt(a * a + b * b), 7) AS e0, round(b / sqrt(a * a + b * b), 7) AS e1 FROM m"))
 def p14(spark, d):
-    e = _read(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "e"))
-    s = e.select(F.col("label").alias("rid"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id", "i")) - 1).cast("bigint").alias("i"), F.col("e").cast("double").alias("x"))
-    embed = F.array(F.aggregate("xs", F.lit(0.0), lambda a, x: a + x) / F.size("xs"), F.array_max("xs"))
-    return S.window_embeddings(s, embed, 64, 32).select("rid", "w", F.round(F.get("embedding", 0), 7).alias("e0"), F.round(F.get("embedding", 1), 7).alias("e1"))
+    embed = F.array(F.aggregate("xs", F.lit(0.0), lambda a, x: a + x) / F.size("xs"), F.array_max("xs").cast("double"))
+    return S.window_embeddings(chunks(spark, d, 3), embed, 64, 32).select("rid", "w", F.round(F.get("embedding", 0), 7).alias("e0"), F.round(F.get("embedding", 1), 7).alias("e1"))
+
+
+NAIVE = """g AS (SELECT vec_id, label // 2 AS g, label % 2 = 0 AS own, embedding FROM embeddings),
+m AS (SELECT g, i, avg(e::DOUBLE) AS m FROM (SELECT g, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM g WHERE own) GROUP BY ALL), nn AS (SELECT g, sqrt(sum(m * m)) AS n FROM m GROUP BY g),
+c AS (SELECT vec_id, g, own, 1 - sum(e::DOUBLE * m / n) AS d FROM (SELECT vec_id, g, own, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM g) JOIN m USING (g, i) JOIN nn USING (g) GROUP BY ALL),
+t AS (SELECT g, (avg(d) FILTER (own) + avg(d) FILTER (NOT own)) / 2 AS threshold FROM c GROUP BY g)"""
+
+
+@query("a8_naive_accuracies", sql(NAIVE, select="SELECT g, round(threshold, 6) AS threshold, round(avg((d < threshold)::INT) FILTER (own), 9) AS own_right, round(avg((d >= threshold)::INT) FILTER (NOT own), 9) AS other_right FROM c JOIN t USING (g) GROUP BY g, threshold"))
+def a8_naive(spark, d):
+    e = _read(spark, d, "embeddings").select("vec_id", F.floor(F.col("label") / 2).alias("g"), (F.col("label") % 2 == 0).alias("own"), "embedding")
+    own = e.join(S.centroids(e.where("own"), "g"), "g")
+    out = S.naive_accuracies(own.select("g", "own", (1 - M.dot(F.col("embedding"), F.col("centroid"))).alias("distance")), "g")
+    return out.select("g", F.round("threshold", 6).alias("threshold"), *(F.round(c, 9).alias(c) for c in ("own_right", "other_right")))
+
+
+@query("a9_show_iou", f"SELECT rid % 3 AS show, count(*) AS n_recs, round(avg(iou), 9) AS iou FROM ({ORACLE['j6_block_iou']}) GROUP BY ROLLUP (rid % 3)")
+def a9_iou(spark, d):
+    ious = V.block_iou(truth(spark, d), truth(spark, d, "pred"), frames(spark, d), 8.0)
+    return V.show_iou(ious.select((F.col("rid") % 3).alias("show"), F.round("iou", 9).alias("iou")), "show").withColumn("iou", F.round("iou", 9))
+
+
+@query("a13_calibration")
+def a13_calibration(spark, d):
+    return M.calibration(frames(spark, d).select("rid", (4 * F.col("nn") - 2 + F.col("truth")).alias("logit"), F.col("truth").alias("label")))
+
+
+@query("p11_head_terms", sql(FRAMES, select="SELECT event_id, round(1 / (1 + exp(-(-0.5 + 0.25 * nn - 0.125 * speaker + 0.75 * logo + CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN -0.25 ELSE 0 END + 0.375 * coalesce(CASE WHEN idx % 3 > 0 THEN pred + 0.25 END, 0.5)))), 9) AS conf FROM frames"))
+def p11_terms(spark, d):
+    hot = F.create_map(F.lit("click"), F.lit("rtl"), F.lit("view"), F.lit("vox"))
+    rms = F.when(F.col("idx") % 3 > 0, F.col("pred") + 0.25)
+    w = F.array(*(F.lit(x) for x in (0.0, 0.0, 0.5, 0.0, 0.0, -0.25)))
+    p = M.head(F.array("nn", "speaker"), F.array(F.lit(0.25), F.lit(-0.125)), -0.5, F.col("logo"), 0.75, hot[F.col("event_type")], w, rms, 0.375)
+    return frames(spark, d).select("event_id", F.round(p, 9).alias("conf"))
+
+
+@query("slug_c", "SELECT doc_id, " + SLUG.format("replace(replace(replace(replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')") + " AS slug FROM documents")
+def slug_c(spark, d):
+    return _read(spark, d, "documents").select("doc_id", X.shell_slug(F.col("text")).alias("slug"))
+
+
+@query("text_helpers", "SELECT o_orderkey, (o_orderkey::VARCHAR)[1:2] AS short_id, rpad(o_orderpriority[1:6], 6, ' ') AS padded, strftime(o_orderdate, '%Y%m%dT%H%M%S') AS stamp, (2000000000 - epoch(o_orderdate)::BIGINT) / 86400 AS age FROM orders")
+def text_helpers(spark, d):
+    unix = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    return _read(spark, d, "orders").select("o_orderkey", X.short_id(F.col("o_orderkey").cast("string"), 2).alias("short_id"), X.padded(F.col("o_orderpriority"), 6).alias("padded"), X.stamp(unix).alias("stamp"), X.age_days(unix, F.lit(2_000_000_000)).alias("age"))
+
+
+@query("s14_dimensions", "SELECT o_orderkey::VARCHAR AS uuid, CASE WHEN o_custkey % 4 > 0 AND n_name IS NOT NULL THEN 'n' || n_nationkey ELSE '' END AS slug, CASE WHEN o_orderkey % 3 = 0 AND o_custkey <> 0 THEN o_custkey::BIGINT ELSE o_orderkey END AS start_s FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 30")
+def s14(spark, d):
+    n = _read(spark, d, "nation").select(F.format_string('{"channels":[{"name":"%s","slug":"n%d"},{"name":"","slug":"x"}]}', F.col("n_nationkey").cast("string"), "n_nationkey").alias("value"))
+    name = F.when(F.col("o_custkey") % 4 > 0, (F.col("o_custkey") % 30).cast("string")).otherwise("none")
+    real = F.when(F.col("o_orderkey") % 3 == 0, F.format_string('"start_real":%d,', "o_custkey")).otherwise("")
+    o = _read(spark, d, "orders").select(F.format_string('{"entries":[{"uuid":"%d","channelname":"%s",%s"start":%d}]}', "o_orderkey", name, real, "o_orderkey").alias("value"))
+    return logs.dimensions(n, o)
+
+
+@query("e5_chunk_merge", sql(FRAMES, "e AS (SELECT rid, idx // 50 AS chunk, event_type, idx % 50 AS i FROM frames WHERE event_type IN ('click', 'purchase', 'signup'))", "k AS (SELECT *, row_number() OVER (PARTITION BY rid, chunk, event_type = 'click' ORDER BY i) AS nth FROM e)",
+    select="SELECT rid, CASE event_type WHEN 'click' THEN 'scene' WHEN 'purchase' THEN 'onset' ELSE 'offset' END AS kind, chunk * 50 + i AS idx, (i / 10.0 + chunk * 5.0)::DOUBLE AS time_s FROM k WHERE NOT (chunk > 0 AND ((event_type = 'click' AND i = 1) OR (event_type <> 'click' AND nth = 1 AND i < 6)))"))
+def e5(spark, d):
+    f = frames(spark, d).where("event_type IN ('click', 'purchase', 'signup')")
+    kind = F.when(F.col("event_type") == "click", "scene").when(F.col("event_type") == "purchase", "onset").otherwise("offset")
+    e = f.select("rid", F.floor(F.col("idx") / 50).alias("chunk"), kind.alias("kind"), (F.col("idx") % 50).alias("idx")).withColumn("time_s", F.col("idx") / 10)
+    return E.chunks_merged(e, e.select("rid", "chunk").distinct().withColumn("start_s", F.col("chunk") * 5.0), 10.0)

@@ -70,11 +70,15 @@ def runs_sql(name: str, column: str, least: int = 1) -> str:
  WHERE f = 1 GROUP BY rid, g HAVING count(*) >= {least})"""
 
 
+#: Width and height of the pictures below.
+SIDE = 8
+
+
 def image(spark: SparkSession, d: str) -> DataFrame:
-    """8 x 8 grey pixels (rid 0, frame, i, x, y, v, r, g, b) from the embeddings."""
-    e = _read(spark, d, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("i", "e"))
-    v = F.floor(F.least(F.greatest((F.col("e").cast("double") + 0.5) * 256, F.lit(0.0)), F.lit(255.0))).cast("int")
-    return e.select(F.lit(0).cast("bigint").alias("rid"), "frame", "i", (F.col("i") % 8).cast("bigint").alias("x"), F.floor(F.col("i") / 8).cast("bigint").alias("y"), v.alias("v"), v.alias("r"), v.alias("g"), v.alias("b"))
+    """(rid 0, frame, pixels): grey 8 x 8 pictures as rgb24 bytes, from the embeddings."""
+    grey = lambda e: F.floor(F.least(F.greatest((e.cast("double") + 0.5) * 256, F.lit(0.0)), F.lit(255.0))).cast("int")
+    bytes_ = F.unhex(F.array_join(F.transform("embedding", lambda e: F.repeat(F.lpad(F.hex(grey(e)), 2, "0"), 3)), ""))
+    return _read(spark, d, "embeddings").select(F.lit(0).cast("bigint").alias("rid"), F.col("vec_id").alias("frame"), bytes_.alias("pixels"))
 
 
 PIX = """pix AS (SELECT frame, i, i % 8 AS x, i // 8 AS y, floor(least(greatest((e::DOUBLE + 0.5) * 256, 0), 255))::INT AS v

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewright.functions.text import clipped, rate
 from framewright.operators.events import coalesced
 
+# What the tools' logs and files look like.
 NUMBER = r"(-?[0-9.]+)"
 PROBE = "streams array<struct<codec_type:string,width:int,height:int,r_frame_rate:string,avg_frame_rate:string,duration:string,nb_frames:string>>, format struct<duration:string>"
 PAIRS = "array<array<double>>"
@@ -128,6 +129,23 @@ def pseudo_labels(files: DataFrame) -> DataFrame:
     return p.select("rid", F.explode(F.arrays_zip("p.frames", "p.labels")).alias("z")).select("rid", F.col("z.frames").alias("frame"), F.col("z.labels").alias("label"))
 
 
+CHANNELS = "channels array<struct<name:string,slug:string>>"
+ENTRIES = "entries array<struct<uuid:string,channelname:string,start_real:bigint,start:bigint>>"
+
+
+def dimensions(channels: DataFrame, entries: DataFrame) -> DataFrame:
+    """(uuid, slug, start_s) from JSON documents (value) of channels and of recordings.
+
+    A channel without a name or slug is none; a recording of an unknown channel has the slug '', one without a start 0.
+    Unreadable documents are empty.
+    """
+    c = channels.select(F.explode(F.from_json("value", CHANNELS)["channels"]).alias("c")).select("c.name", "c.slug").where("name <> '' AND slug <> ''").groupBy("name").agg(F.max("slug").alias("slug"))
+    e = entries.select(F.explode(F.from_json("value", ENTRIES)["entries"]).alias("e")).select("e.*").where("uuid <> ''")
+    start = F.coalesce(F.nullif("start_real", F.lit(0)), "start", F.lit(0))
+    joined = e.join(c, F.col("channelname") == F.col("name"), "left")
+    return joined.groupBy("uuid").agg(F.coalesce(F.max("slug"), F.lit("")).alias("slug"), F.max(start).alias("start_s"))
+
+
 def recordings(paths: DataFrame) -> DataFrame:
     """Recordings (uuid, stem) among paths (path): a folder _rec_<uuid> with an index, a plain text file and a cached stream."""
     uuid = F.regexp_extract("path", r"_rec_([^/]+)/", 1)

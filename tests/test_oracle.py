@@ -50,7 +50,7 @@ def test_head_is_fitted_with_the_operators_iterations(spark, monkeypatch):
     assert seen.get("max_iter", 2000) == 2000
 
 
-@pytest.mark.parametrize("name", ["slug_a_whole", "slug_b_whole"])
+@pytest.mark.parametrize("name", ["slug_a", "slug_b"])
 def test_slugs_of_whole_texts(spark, name):
     assert max(len(r.slug or "") for r in QUERIES[name](spark, SF).collect()) > 1000
 

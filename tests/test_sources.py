@@ -57,10 +57,9 @@ def test_raw_frames(spark, tmp_path):
     spark.dataSource.register(V.Rgb24)
     f = spark.read.format("rgb24").options(path=f"{tmp_path}/v.rgb", width=16, height=16, framesPerPartition=2).load()
     assert [r.frame for r in f.orderBy("frame").collect()] == [0, 1, 2]
-    px = V.pixels(f, 16)
-    assert [r.black for r in P.black_frames(px).orderBy("frame").collect()] == [True, False, True]
-    d = P.frame_distances(P.colour_histogram(px), px.select("rid", "frame").distinct()).orderBy("frame").collect()
-    assert [r.distance for r in d] == [1.0, 1.0]
+    m = P.measured(f, 16, 16, P.black(), P.histogram(), P.letterbox(4, 16))
+    assert [(r.black, r.framed) for r in m.orderBy("frame").collect()] == [(True, True), (False, False), (True, True)]
+    assert [r.distance for r in P.frame_distances(m).orderBy("frame").collect()] == [1.0, 1.0]
 
 
 def test_template_round_trip(spark):
