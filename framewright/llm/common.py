@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright import work
+from framewright.work import new_path, shared_dir  # noqa: F401  (the operators take them from here)
+
 #: ASCII white space: the only characters that part words (0x20 and 0x09-0x0D).
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -33,32 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is never a guess: without spark.checkpoint.dir or a checkpoint folder of the context, a job on a cluster is
-    refused.  In local mode, where driver and executors are one process, a temporary folder is such a folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='framewright-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bound_batches(df.sparkSession)
+    return work.stored(df, name)
 
 
 def release(spark: SparkSession) -> None:
