@@ -7,8 +7,10 @@ distinct texts the cache does not hold are encoded, and their counts are appende
 Copies are dropped inside each scan task before the shuffle, so a text that a third of all rows share reaches the
 shuffle once a task.  Only digests stand in a task's memory, never the texts of a whole partition.
 
-Nulls: a null text counts as empty (0 bytes, 0 tokens); a null doc_id is kept as a row.  Repeated rows are returned
-as often as they come in.  Lone surrogates cannot occur in Parquet strings.
+Nulls and ties: a null text counts as empty (0 bytes, 0 tokens); a null doc_id is kept as a row.  Repeated rows are returned
+as often as they come in.  An empty table encodes nothing and gives an empty table.  A very long text is encoded whole, in
+a call of its own.  Columns named n_bytes, n_tokens and over_limit are replaced; others pass as they are.  Lone
+surrogates cannot occur in Parquet strings.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import new_path, partitions, stored, text_of
+from framewright.llm.common import columns_of, new_path, partitions, stored, text_of
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 LIMIT = 512
@@ -113,9 +115,6 @@ def counted(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: in
     counts = open_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # As a table of its own, so that the join below can split the rows of a digest that very many documents have.
     counts = stored(counts, "digest-counts")
-    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    return (
-        docs.select(*keep, F.octet_length(text_of("text")).cast("bigint").alias("n_bytes"), digest.alias("_digest"))
-        .join(counts.withColumnRenamed("digest", "_digest"), "_digest")
-        .select(*keep, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    # The caller's columns go in one struct, so that no name of theirs meets one of these.
+    own = docs.select(F.struct(*columns_of(docs, "n_bytes", "n_tokens", "over_limit")).alias("row"), F.octet_length(text_of("text")).cast("bigint").alias("n_bytes"), digest.alias("digest"))
+    return own.join(counts, "digest").select("row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
