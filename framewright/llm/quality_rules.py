@@ -7,7 +7,9 @@ rule, so a verdict does not depend on what else is in its partition.
 
 Nulls: a null text has no words, fails the base rules and is dropped.  A null doc_id is never a target.
 Repeated rows are counted and judged one by one.  With no labels the ratio is 0 everywhere and only the base
-rules decide.  Columns beside doc_id and text are not read.
+rules decide; an empty table gives an empty table.  A very long text is one row's work, n log n in its words.  Columns
+beside doc_id and text are not read; those of docs by the names of ``FEATURES`` are replaced, or left alone by
+``accepted``, which adds none.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import SPACE, stored
+from framewright.llm.common import SPACE, columns_of, stored
 
 BUCKETS = 65_536
 THRESHOLD = -0.15
@@ -29,6 +31,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+#: The columns that are added, and those of the working, which do not stay.
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "_words", "_lines", "_windows", "_ordered", "_twice", "_placed", "_at")
+
+
 #: A line with a word.
 WORD = r"[^\x20\x09-\x0D]"
 #: A window's hash and place.
@@ -152,7 +158,8 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, ma
 
 
 def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the counted features, ``score`` and ``kept``."""
+    """docs with the counted features, ``score`` and ``kept``; columns of docs by those names are replaced."""
+    docs = docs.select(*columns_of(docs, *FEATURES))
     weights = ratio_weights(docs, labels, buckets)
     own = F.zip_with(
         "_words",
@@ -170,5 +177,6 @@ def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """docs' rows that the rules keep, with docs' columns."""
-    return judged(docs, labels, **how).where("kept").select(*docs.columns)
+    """docs' rows that the rules keep, with docs' columns, whatever their names."""
+    own = docs.select(F.struct(*columns_of(docs)).alias("_row"), "doc_id", "text")
+    return judged(own, labels, **how).where("kept").select("_row.*")
