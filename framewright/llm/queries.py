@@ -24,12 +24,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH l AS (SELECT doc_id, source, i, line, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS bare
-           FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+WITH l AS (SELECT doc_id, source, text, i, line, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS bare
+           FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
                         generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
-     p AS (SELECT source, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source),
-     b AS (SELECT source, bare FROM (SELECT source, bare, count(DISTINCT doc_id) AS n FROM l WHERE bare <> '' GROUP BY source, bare) JOIN p USING (source)
-           WHERE n >= 5 AND n > 0.05 * pages),
+     p AS (SELECT source, count(DISTINCT text) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source),
+     b AS (SELECT source, bare FROM (SELECT source, bare, count(DISTINCT text) AS n FROM l WHERE bare <> '' GROUP BY source, bare) JOIN p USING (source)
+           WHERE n >= 2 AND n > 0.05 * pages),
      k AS (SELECT l.doc_id, l.i, l.line, b.bare IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source = b.source AND l.bare = b.bare)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') END AS text,
        count(k.i) AS n_lines, count(*) FILTER (gone) AS n_dropped

@@ -29,9 +29,10 @@ def labels(spark):
 
 
 def lines_by_hand(rows, ratio, least):
-    pages = Counter(s for _, _, s in rows if s is not None)
+    once = {(s, t) for _, t, s in rows if t is not None and s is not None}
+    pages = Counter(s for s, _ in once)
     bare = lambda x: x.strip(" \t\n\r\x0b\x0c")
-    seen = Counter((s, b) for _, t, s in rows if t is not None and s is not None for b in {bare(x) for x in t.split("\n")} - {""})
+    seen = Counter((s, b) for s, t in once for b in {bare(x) for x in t.split("\n")} - {""})
     gone = {k for k, n in seen.items() if n >= least and n > ratio * pages[k[0]]}
     return sorted((d, None if t is None else "\n".join(x for x in t.split("\n") if (s, bare(x)) not in gone)) for d, t, s in rows)
 
@@ -40,8 +41,16 @@ def test_lines(spark):
     rng = random.Random(1)
     rows = [(i, "\n".join(rng.choice(["menu", " menu ", "foot", "", f"own {i}", f"x{rng.randint(0, 9)}"]) for _ in range(rng.randint(0, 6))), rng.choice(["a", "b", None])) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = sorted((r.doc_id, r.text) for r in line_dedup.deduped(df, ratio=0.3, min_pages=3).collect())
-    assert got == lines_by_hand(rows, 0.3, 3)
+    for ratio, least in ((0.3, 3), (0.05, 2)):
+        got = sorted((r.doc_id, r.text) for r in line_dedup.deduped(df, ratio=ratio, min_pages=least).collect())
+        assert got == lines_by_hand(rows, ratio, least)
+
+
+def test_lines_of_small_hosts(spark):
+    """A host of two pages has boilerplate too; one page, or copies of one, has none."""
+    rows = [(1, "menu\nab", "x"), (2, "menu\ncd", "x"), (3, "menu\nab", "y"), (4, "menu\nab", "y"), (5, "menu\nab", "z"), (6, "menu", None), (7, None, "x"), (8, "", "x")]
+    out = line_dedup.deduped(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in out} == {1: ("ab", 2, 1), 2: ("cd", 2, 1), 3: ("menu\nab", 2, 0), 4: ("menu\nab", 2, 0), 5: ("menu\nab", 2, 0), 6: ("menu", 1, 0), 7: (None, 0, 0), 8: ("", 1, 0)}
 
 
 def test_lines_edges(awkward, nothing):
