@@ -186,7 +186,7 @@ def test_packing(awkward, nothing):
 
 def test_scores(spark, prose):
     rows = [row(i, prose(80)) for i in range(60)] + [row(60, None), row(61, "UNSEEN Words"), row(None, "the of")]
-    out = class_lm.scored(spark.createDataFrame(rows, SCHEMA), share=0.001, k=8, rounds=2).collect()
+    out = class_lm.scored(spark.createDataFrame(rows, SCHEMA), share=0.001, k=8, rounds=2, at_least=1).collect()
     tokens = {r[0]: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (r[1] or "").lower())] + [b""] for r in rows}
     held = {d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d in tokens}
     c = Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
@@ -199,6 +199,84 @@ def test_scores(spark, prose):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_scores_by_hand(spark, prose):
+    """Every score from the model's parts by plain loops, and probabilities that sum to 1."""
+    unseen = next(i for i in range(131, 200) if class_lm.is_held_out(i))
+    rows = [row(i, prose(60)) for i in range(80)] + [row(100 + i, " ".join(w + "q" * (i % 3) for w in prose(30).split())) for i in range(20)] + [row(130, None), row(unseen, "Zebra zebra ünü")]
+    blocks, vocabulary, m = class_lm.fitted(spark.createDataFrame(rows, SCHEMA).repartition(3), share=0.002, k=8, rounds=3, at_least=5)
+    counts = {r.word: r.n for r in vocabulary.collect()}
+    frequent = {w: i for i, w in enumerate(m["frequent"].tolist())}
+    cls = lambda key: int(m["classes"][frequent[key] if key in frequent else len(frequent) + key % class_lm.ENDINGS])
+    # The seen words of a class and its unseen mass are all of it, and so are the classes after a class.
+    for c in range(1, 8):
+        seen = [n for w, n in counts.items() if w != class_lm.END_HASH and cls(w) == c]
+        if seen:
+            assert sum(seen) == m["class_tokens"][c]
+            unseen = max(seen.count(1) * (seen.count(1) - 1) / (2 * (seen.count(2) + 1)), 1)
+            assert sum((n - class_lm.DISCOUNT) / sum(seen) for n in seen) + unseen * 10 ** (m["unseen"][c] - m["novel"][c]) == pytest.approx(1)
+    assert (10 ** m["steps"]).sum(axis=1) == pytest.approx(np.ones(8))
+    assert len(frequent) > 5 and class_lm.word_key(b"zebra") not in counts
+
+    def by_hand(text, spelled):
+        total, last = 0.0, class_lm.END
+        for w in [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())]:
+            key = class_lm.word_key(w)
+            c, n = cls(key), counts.get(key, 0)
+            total += m["steps"][last, c]
+            total += math.log10((n - class_lm.DISCOUNT) / m["class_tokens"][c]) if n else m["unseen"][c] + (spelled_by_hand(m["spelling"], w) if spelled else -m["novel"][c])
+            last = c
+        return total + m["steps"][last, class_lm.END]
+
+    out = {r.doc_id: (r.score, r.spelled_score) for r in class_lm.applied(blocks, vocabulary, m).collect()}
+    assert len(out) == len(rows)
+    for r in rows:
+        assert out[r[0]] == pytest.approx((by_hand(r[1], False), by_hand(r[1], True)), abs=1e-6)
+
+
+def spelled_by_hand(model, word):
+    three, one = model[: class_lm.CONTEXTS], model[class_lm.CONTEXTS :]
+    total, padded = 0.0, b"\0\0\0" + word
+    for i in range(len(word) + 1):
+        a, b, c = padded[i : i + 3]
+        h = ((a * 65_599 + b) * 65_599 + c) % 1_000_003 % class_lm.CONTEXTS
+        s = word[i] if i < len(word) else 256
+        total += math.log10((three[h, s] + class_lm.SPELLING_PRIOR * one[c, s]) / (three[h].sum() + class_lm.SPELLING_PRIOR))
+    return total
+
+
+def test_spellings():
+    words = [b"river", b"rivers", b"r", "ünï".encode(), b"stone"] * 3
+    cells, n = class_lm.spelling_cells(words)
+    counts = np.zeros((class_lm.CONTEXTS + 256) * class_lm.SYMBOLS, np.int64)
+    counts[cells] = n
+    assert counts.sum() == 2 * sum(len(w) + 1 for w in words)
+    model = class_lm.spelling_model(counts)
+    asked = [b"river", b"riverine", b"x", b"zzz", "ü".encode()]
+    assert class_lm.spelling_scores(model, asked) == pytest.approx([spelled_by_hand(model, w) for w in asked])
+    assert class_lm.spelling_scores(model, [b"rivers"])[0] > class_lm.spelling_scores(model, [b"srevir"])[0]
+    # After any bytes the next symbols' probabilities sum to 1.
+    for context in (b"\0\0\0", b"riv", b"qqq"):
+        h = ((context[0] * 65_599 + context[1]) * 65_599 + context[2]) % 1_000_003 % class_lm.CONTEXTS
+        p = (model[h] + class_lm.SPELLING_PRIOR * model[class_lm.CONTEXTS + context[2]]) / (model[h].sum() + class_lm.SPELLING_PRIOR)
+        assert p.sum() == pytest.approx(1)
+
+
+def test_exchange_step():
+    """Each unit goes to the class under which its neighbours' classes are likeliest, by plain loops."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    matrix = rng.integers(0, 50, (5, 5)).astype(float)
+    rows = [(u, s, int(rng.integers(1, 9))) for u in range(1, 20) for s in rng.choice(10, 4, replace=False).tolist()]
+    out = class_lm._moved(matrix)(pa.table({"unit": [r[0] for r in rows], "slot": [r[1] for r in rows], "n": [r[2] for r in rows]}))
+    smooth = matrix + 0.1
+    for u, got in zip(out.column("unit").to_pylist(), out.column("class").to_pylist()):
+        gain = {}
+        for c in range(1, 5):
+            gain[c] = sum(n * math.log(smooth[c, s] / smooth[c].sum() if s < 5 else smooth[s - 5, c] / smooth[:, c].sum()) for v, s, n in rows if v == u)
+        assert gain[got] == pytest.approx(max(gain.values()))
+
+
 def test_scores_beat_unigrams(spark):
     out = QUERIES["op4_class_lm"](spark, SF).where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
     assert out.s > out.b
