@@ -6,20 +6,22 @@ document) goes.  Texts are UTF-8 bytes; matches stay within a document.
 1. Every window of LENGTH bytes names an anchor: the ``GRAM``-byte gram in it with the smallest hash.  Windows in a row
    with the same anchor form a segment.  Equal windows have equal anchors, so repeats meet by anchor, at about
    2 / (LENGTH - GRAM + 2) segments a byte.
-2. Segments are combined in the scan task and then by anchor: of equal segments the first stays, the others are repeats
-   of it as they stand.  Anchors that only one segment is left with hold no repeat.
-3. The segments left (same anchor, other surroundings) go to buckets by anchor.  A bucket's bytes get a suffix array and
-   a table of common prefixes (of the suffixes whose first LENGTH bytes another may share); a stack scan of that table gives the tree of common-prefix intervals, and every interval
-   of LENGTH bytes or more whose occurrences differ in the byte before them is a maximal repeat, with all its occurrences.
-   All of them but the first are removed.
-4. An anchor with more than ``GROUP`` different segments (a passage that very many documents frame differently) would
-   not fit a task.  Its segments are cut into single windows and dealt by their hash, again combined in the scan task;
-   the first of each stays.  This is exact too, and serves only anchors that step 3 cannot hold.
-
-Equality of segments and windows in steps 2 and 4 is equality of 64-bit hashes, of a gram and of the whole together.
+2. Equal segments become one copy with its number of occurrences, first in the scan task and then by anchor; the first of
+   them in the corpus stands for all.  An anchor with one segment that occurs once holds no repeat.
+3. The copies left go to buckets by anchor.  A bucket's bytes get a suffix array and a table of common prefixes (of the
+   suffixes whose first LENGTH bytes another may share); a stack scan of that table gives the tree of common-prefix
+   intervals, and every interval of LENGTH bytes or more whose occurrences differ in the byte before them is a maximal
+   repeat, with all its occurrences; so is a copy that occurs more than once.  All occurrences but the first are removed:
+   in the copies where they stand, and in the other occurrences of a copy by joining them to it.
+4. An anchor with more than ``GROUP`` different segments (the rim of a passage that very many documents frame differently)
+   would not fit a task, and cutting its segments at a further anchor would leave as many different ones there.  Its
+   segments are cut into single windows, which have anchors of their own, and these take steps 2 and 3 like all others.
+
+Segments are taken for equal where two 64-bit hashes are, of a gram and of the whole.
 
 Nulls and ties: a null text is empty; a null doc_id counts as the smallest.  Different texts of one doc_id, or of none,
-are documents of their own, in the order of their hashes; rows equal in both are the same document, not repeats.
+are documents in the order of their hash; a repeated row is one document, not a repeat of itself.  An empty table gives an
+empty table; a very long text is scanned in parts that share LENGTH - 1 bytes.  Columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -65,25 +67,25 @@ def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
     return anchor, whole, lo, hi, sums
 
 
-FOUND = "repeat boolean, anchor bigint, whole bigint, doc bigint, lo int, hi int"
+#: repeat: equal to an earlier one of its scan batch; n: how often a first one occurs in its batch.
+FOUND = "repeat boolean, anchor bigint, whole bigint, doc bigint, lo int, hi int, n int"
 
 
 def _firsts(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Which entries are the first, by (doc, lo), of those with their anchor and whole."""
+    """For the first entry, by (doc, lo), of those with an anchor and whole, how many there are; 0 for the others."""
     order = np.lexsort((lo, doc, whole, anchor))
     a, w = anchor[order], whole[order]
-    first = np.empty(len(order), bool)
-    first[order] = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])))
-    return first
+    at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]))))
+    times = np.zeros(len(order), np.int32)
+    times[order[at]] = np.diff(np.concatenate((at, [len(order)])))
+    return times
 
 
 def _combined(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     anchor, whole, doc, lo, hi = (np.concatenate(c) for c in zip(*held, strict=True))
-    repeat = ~_firsts(anchor, whole, doc, lo)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(repeat), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
-        names=["repeat", "anchor", "whole", "doc", "lo", "hi"],
-    )
+    n = _firsts(anchor, whole, doc, lo)
+    columns = [pa.array(n == 0), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(n)]
+    yield pa.RecordBatch.from_arrays(columns, names=["repeat", "anchor", "whole", "doc", "lo", "hi", "n"])
 
 
 def _scan(length: int, gram: int):
@@ -161,14 +163,17 @@ def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
         previous = r
 
 
-def maximal_repeats(parts: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray]]:
+def maximal_repeats(parts: list[bytes], least: int, times: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(length, places): every repeat of ``least`` bytes or more that its occurrences' surroundings do not extend.
 
-    places are offsets into the parts joined with a byte that UTF-8 does not have between them.
+    places are offsets into the parts joined with a byte that UTF-8 does not have between them.  times: how often each part
+    occurs; one that occurs more than once is a repeat in itself, with the place where it stands.
     """
     text = b"\xff".join(parts) + b"\xff"
     sizes = np.array([len(p) for p in parts], np.int64)
     ends = np.cumsum(sizes + 1) - 1
+    for i in np.flatnonzero(times > 1) if times is not None else ():
+        yield int(sizes[i]), (ends - sizes)[i : i + 1]
     at = sparse_suffixes(text, ends, ends - sizes, least)
     order, lcp = suffix_array(text, at, ends[np.searchsorted(ends, at)])
     at = at[order]
@@ -181,101 +186,119 @@ def maximal_repeats(parts: list[bytes], least: int) -> Iterator[tuple[int, np.nd
             yield n, at[first : last + 1]
 
 
-SPANS = "doc bigint, lo int, hi int"
+#: Spans of copies that repeat an earlier place (doc, lo, hi), and copies that occur more than once (anchor, whole).
+TREES = "doc bigint, lo int, hi int, anchor bigint, whole bigint"
 
 
 def _repeats(length: int):
-    """A bucket: rows (bucket, doc, lo, bytes) to the spans [lo, hi) that repeat an earlier place."""
+    """A bucket: rows (anchor, whole, doc, lo, n, bytes) to what its tree says of them."""
 
     def of(group: pa.Table) -> pa.Table:
         parts = group.column("bytes").to_pylist()
         starts = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))[:-1]
-        doc, lo = group.column("doc").to_numpy(), group.column("lo").to_numpy()
+        doc, lo, times = (group.column(c).to_numpy() for c in ("doc", "lo", "n"))
         size = int(starts[-1]) + len(parts[-1]) + 1
         owner = np.repeat(np.arange(len(parts)), np.diff(np.concatenate((starts, [size]))))
         place = lo[owner] + np.arange(size) - starts[owner]
         rank = np.empty(size, np.int64)
         rank[np.lexsort((place, doc[owner]))] = np.arange(size)
         reach = np.zeros(size, np.int64)
-        for n, at in maximal_repeats(parts, length):
+        several = np.zeros(len(parts), bool)
+        for n, at in maximal_repeats(parts, length, times):
+            if len(at) == 1:  # a copy that occurs more than once
+                several[owner[at]] = True
+                continue
             r = rank[at]
             k = r.argmin()
             # The same place may stand in two parts that overlap; it is not a repeat of itself.
             later = at[(doc[owner[at]] != doc[owner[at[k]]]) | (place[at] != place[at[k]])]
             np.maximum.at(reach, later, n)
         at = np.flatnonzero(reach)
-        return pa.table({"doc": pa.array(doc[owner[at]], pa.int64()), "lo": pa.array(place[at].astype(np.int32)), "hi": pa.array((place[at] + reach[at]).astype(np.int32))})
+        copies = np.flatnonzero(several)
+        none, nowhere = pa.nulls(len(at), pa.int64()), pa.nulls(len(copies), pa.int32())
+        keys = group.select(["anchor", "whole"]).take(pa.array(copies)).combine_chunks()
+        spans = pa.table({"doc": pa.array(doc[owner[at]], pa.int64()), "lo": pa.array(place[at].astype(np.int32)), "hi": pa.array((place[at] + reach[at]).astype(np.int32)), "anchor": none, "whole": none})
+        return pa.concat_tables([spans, pa.table({"doc": pa.nulls(len(copies), pa.int64()), "lo": nowhere, "hi": nowhere, "anchor": keys.column("anchor"), "whole": keys.column("whole")})])
 
     return of
 
 
-PARTS = "hot boolean, key bigint, doc bigint, lo int, hi int, bytes binary"
+PARTS = "key bigint, anchor bigint, whole bigint, doc bigint, lo int, n bigint, bytes binary"
 
 
 def _bytes_of(length: int):
-    """Documents with their open segments: the segments' bytes, or (of a hot anchor) single windows."""
+    """Documents with the copies that they give, to the copies' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "anchor", "whole", "doc", "lo", "n", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
-            hot: list[tuple[np.ndarray, ...]] = []
+            rows: list[list] = [[] for _ in names]
             for doc, text, found in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("open"), strict=True):
                 raw = utf8(text.as_py())
-                data, sums = None, None
                 for s in found.as_py():
-                    if not s["hot"]:
-                        for column, v in zip(rows, (False, s["anchor"], doc, s["lo"], s["hi"], raw[s["lo"] : s["hi"] + length]), strict=True):
-                            column.append(v)
-                        continue
-                    data = np.frombuffer(raw, np.uint8) if data is None else data
-                    sums = (prefix_hash(data, 0), prefix_hash(data, 1)) if sums is None else sums
-                    lo = np.arange(s["lo"], min(s["hi"], len(raw) - length) + 1)
-                    hot.append((stretch(sums[0], 0, lo, lo + length), stretch(sums[1], 1, lo, lo + length), np.full(len(lo), doc, np.int64), lo, lo))
-            names = ["hot", "key", "doc", "lo", "hi", "bytes"]
-            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                    for column, v in zip(rows, (s["key"], s["anchor"], s["whole"], doc, s["lo"], s["n"], raw[s["lo"] : s["hi"] + length]), strict=True):
+                        column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names)
-            if hot:
-                a, b, doc, lo, _ = (np.concatenate(c) for c in zip(*hot, strict=True))
-                key = a ^ mix(b)
-                first = _firsts(key, key, doc, lo)
-                # hi < lo marks a window that repeats one of this batch.
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(len(key), bool)), pa.array(key.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(np.where(first, lo, -1).astype(np.int32)), pa.nulls(len(key), pa.binary())], names=names
-                )
 
     return run
 
 
+def _windows_of(length: int):
+    """Documents with segments of crowded anchors, to their single windows, combined as the scan combines segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[np.ndarray, ...]] = []
+            for doc, text, found in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("open"), strict=True):
+                data = np.frombuffer(utf8(text.as_py()), np.uint8)
+                sums = prefix_hash(data, 0), prefix_hash(data, 1)
+                lo = np.unique(np.concatenate([np.arange(s["lo"], min(s["hi"], len(data) - length) + 1) for s in found.as_py()]))
+                held.append((stretch(sums[0], 0, lo, lo + length), stretch(sums[1], 1, lo, lo + length), np.full(len(lo), doc, np.int64), lo, lo))
+            if held:
+                yield from _combined(held)
+
+    return run
+
+
+def _marked(found: DataFrame, n: int) -> DataFrame:
+    """found's segments, each the first of its kind (nth 1, with total occurrences n) or a later one; kinds: how many its anchor has.
+
+    First ones of an anchor that has nothing else go.  Repeats found in their scan batch only pass through, dealt by
+    document; the others are dealt by anchor.
+    """
+    dealt = found.withColumn("key", F.when(F.col("repeat"), F.xxhash64("doc", "lo")).otherwise(F.col("anchor"))).repartition(n, "key")
+    same = Window.partitionBy("key", "repeat", "whole")
+    ranked = (
+        dealt.withColumn("first", ~F.col("repeat") & (F.row_number().over(same.orderBy("doc", "lo")) == 1))
+        .withColumn("total", F.sum("n").over(same))
+        .withColumn("kinds", F.count_if("first").over(Window.partitionBy("key", "repeat")))
+    )
+    kept = ranked.where(~F.col("first") | (F.col("total") > 1) | (F.col("kinds") > 1))
+    return stored(kept.select("first", "anchor", "whole", "doc", "lo", "hi", F.col("total").alias("n"), "kinds"), "segments")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc, lo, hi): spans of bytes [lo, hi) that repeat an earlier place; docs has doc and text."""
     n = partitions(docs.sparkSession)
-    found = docs.mapInArrow(_scan(length, gram), FOUND)
-    # Repeats found in their scan task only pass through; they are dealt by document, the others by anchor.
-    dealt = found.withColumn("key", F.when(F.col("repeat"), F.xxhash64("doc", "lo")).otherwise(F.col("anchor"))).repartition(n, "key")
-    same = Window.partitionBy("key", "repeat", "whole").orderBy("doc", "lo")
-    near = Window.partitionBy("key", "repeat")
-    marked = (
-        dealt.withColumn("nth", F.when(F.col("repeat"), F.lit(2)).otherwise(F.row_number().over(same)))
-        .withColumn("kinds", F.when(F.col("repeat"), F.lit(0)).otherwise(F.count_if(F.col("nth") == 1).over(near)))
-        .where((F.col("nth") > 1) | (F.col("kinds") > 1))
-        .select((F.col("nth") > 1).alias("repeat"), "anchor", "doc", "lo", "hi", (F.col("kinds") > group).alias("hot"))
-    )
-    marked = stored(marked, "segments")
-    whole = marked.where("repeat").select("doc", "lo", (F.col("hi") + length).cast("int").alias("hi"))
-    open_ = marked.where("not repeat")
-    size = open_.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + length), F.lit(0)).alias("n")).first()["n"]
-    if not size:
-        return whole
-    lists = open_.groupBy("doc").agg(F.collect_list(F.struct("hot", "anchor", "lo", "hi")).alias("open"))
-    parts = stored(docs.join(lists, "doc").mapInArrow(_bytes_of(length), PARTS), "parts")
-    buckets = max(1, -(-size // bucket_bytes))
-    grouped = parts.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).select("bucket", "doc", "lo", "bytes")
-    trees = grouped.groupBy("bucket").applyInArrow(_repeats(length), SPANS)
-    windows = parts.where("hot")
-    first = Window.partitionBy("key").orderBy("doc", "lo")
-    late = windows.where("hi >= 0").withColumn("nth", F.row_number().over(first)).where("nth > 1").unionByName(windows.where("hi < 0").withColumn("nth", F.lit(2)))
-    late = late.select("doc", "lo", (F.col("lo") + length).cast("int").alias("hi"))
-    return whole.unionByName(trees).unionByName(late)
+    listed = lambda df, *names: df.groupBy("doc").agg(F.collect_list(F.struct(*names)).alias("open"))
+    marked = _marked(docs.mapInArrow(_scan(length, gram), FOUND), n)
+    crowded = F.col("kinds") > group
+    # A crowded anchor's segment that occurs more than once is also a copy by itself, for its other occurrences.
+    copies = marked.where(F.col("first") & (~crowded | (F.col("n") > 1))).withColumn("key", F.when(crowded, F.xxhash64("anchor", "whole")).otherwise(F.col("anchor")))
+    later = marked.where("NOT first")
+    cut = marked.where(F.col("first") & crowded)
+    if not cut.isEmpty():
+        windows = _marked(docs.join(listed(cut, "lo", "hi"), "doc").mapInArrow(_windows_of(length), FOUND), n)
+        copies = copies.unionByName(windows.where("first").withColumn("key", F.col("anchor")))
+        later = later.unionByName(windows.where("NOT first"))
+    size = copies.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + length), F.lit(0)).alias("n")).first()["n"]
+    parts = docs.join(listed(copies, "key", "anchor", "whole", "lo", "hi", "n"), "doc").mapInArrow(_bytes_of(length), PARTS)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-size // bucket_bytes))))
+    trees = stored(parts.select(bucket.alias("bucket"), "anchor", "whole", "doc", "lo", "n", "bytes").groupBy("bucket").applyInArrow(_repeats(length), TREES), "trees")
+    several = trees.where("whole IS NOT NULL").select("anchor", "whole")
+    others = later.join(several, ["anchor", "whole"], "left_semi").select("doc", "lo", (F.col("hi") + length).cast("int").alias("hi"))
+    return trees.where("whole IS NULL").select("doc", "lo", "hi").unionByName(others)
 
 
 def union_of(lo: np.ndarray, hi: np.ndarray, n: int) -> list[tuple[int, int]]:
