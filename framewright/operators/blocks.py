@@ -44,11 +44,10 @@ def state_machine(frames: DataFrame, open_frames: int, close_frames: int, min_fr
     In closed form over runs: keep the runs long enough to change the state, then the first of equal ones in a row.
     """
     by = Window.partitionBy("rid").orderBy("first")
-    runs = islands(frames, "present")
+    runs = islands(frames, "present").withColumn("_n", F.sum("n").over(Window.partitionBy("rid")))
     kept = runs.where((~F.col("present") & (F.col("n") >= open_frames)) | (F.col("present") & (F.col("n") >= close_frames)))
     turns = kept.withColumn("_was", F.lag("present").over(by)).where(F.col("_was").isNull() | (F.col("_was") != F.col("present")))
-    total = frames.groupBy("rid").agg(F.count("*").alias("_n"))
-    spans = turns.withColumn("_next", F.lead("first").over(by)).where(~F.col("present")).join(total, "rid")
+    spans = turns.withColumn("_next", F.lead("first").over(by)).where(~F.col("present"))
     end = F.coalesce("_next", "_n")
     return numbered(spans.where(end - F.col("first") >= min_frames).select("rid", (F.col("first") / fps).alias("start_s"), (end / fps).alias("end_s")))
 
@@ -206,8 +205,9 @@ def extend(blocks: DataFrame, durations: DataFrame, start_s: float, end_s: float
 def form(signals: DataFrame, events: DataFrame, options: Options) -> DataFrame:
     """All stages in order, for every recording that has a logo series."""
     o = options.resolved()
-    has = signals.groupBy("rid").agg(F.count("logo").alias("_logo"), F.count("*").alias("_n"), *(F.count(c).alias(f"_{c}") for c in ("nn", "speaker", "bumper_end", "bumper_start") if c in signals.columns))
-    frames = signals.join(has.where("_logo = _n"), "rid")  # without a logo series there is no result
+    whole = Window.partitionBy("rid")
+    counts = {f"_{c}": F.count(c).over(whole) for c in ("logo", "nn", "speaker") if c in signals.columns}
+    frames = signals.withColumns({"_n": F.count("*").over(whole), **counts}).where("_logo = _n")  # without a logo series there is no result
     logo = F.col("logo")
     frames = rolling_mean(frames, "logo", int(o.logo_smooth_s * o.fps / 2), "_l") if o.logo_smooth_s > 0 else frames.withColumn("_l", logo)
     frames = frames.withColumn("logo", F.col("_l"))
@@ -218,7 +218,7 @@ def form(signals: DataFrame, events: DataFrame, options: Options) -> DataFrame:
     if "speaker" in signals.columns and o.speaker_weight:
         score = F.when(F.col("_speaker") == F.col("_n"), nudged(score, F.col("speaker"), o.speaker_weight)).otherwise(score)
     frames = frames.withColumn("present", score >= o.logo_threshold)
-    durations = has.select("rid", (F.col("_n") / o.fps).alias("duration_s"))
+    durations = signals.groupBy("rid").agg((F.count("*") / o.fps).alias("duration_s"))
     blocks = state_machine(frames, max(1, o.frames(o.min_absent_open_s)), max(1, o.frames(o.min_show_segment_s)), o.frames(o.min_block_s), o.fps)
     edges = vote_refine(edges_of(blocks), events, o.refine_window_s)
     points = lambda kind: events.where(F.col("kind") == kind).select("rid", F.col("start_s").alias("t"))
