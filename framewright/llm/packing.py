@@ -7,12 +7,15 @@ configuration that is full and worth most at these prices, and the prices of len
 configuration is used is rounded down to a whole number as it is found.  Rounds go on until what is left fills no
 sequence; that remainder is packed best-fit decreasing.
 
-The plan (a row for each configuration and length) is then applied by rank: the r-th piece of a length goes to the
+A round serves half of the count of one length at least, so there are three rounds a length at most, whatever the number
+of documents, and the plan has a row for each configuration and length in it: that bounds what is broadcast.  The plan
+is then applied by rank: the r-th piece of a length goes to the
 sequence that the plan gives to rank r.  Ranks are counted in salted groups, with as many salts for a length as its
 share of the pieces asks for, so a length that a third of all pieces have is not one task's.
 
 Nulls and ties: a null text is empty and has one token (the closing id).  Repeated rows are packed one by one; pieces
-of equal length are interchangeable, and their order is by doc_id and piece.
+of equal length are interchangeable, and their order is by doc_id and piece.  An empty table has no pieces.  A very long
+text is encoded whole and becomes as many pieces as it needs.  Columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations

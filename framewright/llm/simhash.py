@@ -18,7 +18,8 @@ Links become components by large-star and small-star rounds on DataFrames, cut b
 group only spanning links are passed on (at most one a fingerprint), which leaves the components as they are.
 
 Nulls and ties: a null text has no words; a null doc_id is kept and never the smallest of a component (null only if the
-component has no other id); repeated rows share fingerprint and component.
+component has no other id); repeated rows share fingerprint and component.  An empty table gives an empty table; a very
+long text is hashed whole.  Columns beside doc_id and text are not read, or pass as they are, whatever their names.
 """
 
 from __future__ import annotations
