@@ -238,7 +238,7 @@ def spelled_by_hand(model, word):
     total, padded = 0.0, b"\0\0\0" + word
     for i in range(len(word) + 1):
         a, b, c = padded[i : i + 3]
-        h = ((a * 65_599 + b) * 65_599 + c) % 1_000_003 % class_lm.CONTEXTS
+        h = (a * 40_503 + b * 10_139 + c * 2_531 >> 4) % class_lm.CONTEXTS
         s = word[i] if i < len(word) else 256
         total += math.log10((three[h, s] + class_lm.SPELLING_PRIOR * one[c, s]) / (three[h].sum() + class_lm.SPELLING_PRIOR))
     return total
@@ -256,7 +256,7 @@ def test_spellings():
     assert class_lm.spelling_scores(model, [b"rivers"])[0] > class_lm.spelling_scores(model, [b"srevir"])[0]
     # After any bytes the next symbols' probabilities sum to 1.
     for context in (b"\0\0\0", b"riv", b"qqq"):
-        h = ((context[0] * 65_599 + context[1]) * 65_599 + context[2]) % 1_000_003 % class_lm.CONTEXTS
+        h = (context[0] * 40_503 + context[1] * 10_139 + context[2] * 2_531 >> 4) % class_lm.CONTEXTS
         p = (model[h] + class_lm.SPELLING_PRIOR * model[class_lm.CONTEXTS + context[2]]) / (model[h].sum() + class_lm.SPELLING_PRIOR)
         assert p.sum() == pytest.approx(1)
 
