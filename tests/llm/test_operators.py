@@ -306,6 +306,23 @@ def test_token_counts(spark, awkward, nothing, tmp_path):
     assert token_counts.counted(nothing, path).count() == 0
 
 
+def test_counts_of_pieces():
+    """Counting by pieces gives what the library gives, on whole tables, odd strings and random ones."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert token_counts.parted_by_pieces(path) and not token_counts.parted_by_pieces(tokenizer_path("word_bpe_49k.json"))
+    t = Tokenizer.from_file(path)
+    count = token_counts.counter(path)
+    rng = random.Random(12)
+    odd = ["", " ", "  ", "\n", " \n ", "a\n\nb", "a  b", "a \n b", "it's we'll I'D 'sx ''s", "don't'", "x\t\ty", "\r\n\r\n", "1 23 ²³ ½", "é" * 3000, "€5 – “q” … \u2028 x", "\x85a\xa0b", "\x00\x1f", "a\u200bb", "<|endoftext|> x", "日本 語", "🙂 ok", "ǅ ª º µ", " 's", "a 1b2 c_d--e", "\u00ad x\u00ad"]
+    odd += ["".join(rng.choice(" \n\tab'sél1²-–€.\xa0\u2009") for _ in range(rng.randrange(40))) for _ in range(2000)]
+    odd += ["".join(chr(rng.choice((rng.randrange(0x20, 0x250), rng.randrange(0x2010, 0x2060), 32))) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    for texts in (odd, *([x or "" for x in pq.read_table(f"/root/testdata/{d}/documents.parquet").column("text").to_pylist()] for d in ("sf0.001", "sf0.01"))):
+        assert count(texts) == [len(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 # ---- 6
 
 
