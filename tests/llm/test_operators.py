@@ -9,11 +9,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from framewright.llm import class_lm, decontaminate, html_text, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_counts
+from framewright.llm.common import BATCH_BYTES, ROW_GROUP_BYTES
 from framewright.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 from tests.llm.conftest import SCHEMA, row
 
@@ -184,6 +186,18 @@ def test_packing(awkward, nothing):
 # ---- 4
 
 
+def test_blocks_in_small_parts(spark):
+    """A task's blocks are not read, or handed to Python, all at once: a block is megabytes, and a large split has hundreds."""
+    texts = spark.range(0, 12, 1, 1).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 610000), i -> pmod(xxhash64(i, id), 60000)))").alias("text"))
+    blocks, _, _ = class_lm.fitted(texts, k=8, rounds=1)
+    assert blocks.count() == 12
+    (path,) = blocks.inputFiles()
+    found = pq.ParquetFile(path.removeprefix("file://")).metadata
+    sizes = [found.row_group(k).total_byte_size for k in range(found.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) <= ROW_GROUP_BYTES + 8_000_000  # a block over
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(BATCH_BYTES)
+
+
 def test_scores(spark, prose):
     rows = [row(i, prose(80)) for i in range(60)] + [row(60, None), row(61, "UNSEEN Words"), row(None, "the of")]
     out = class_lm.scored(spark.createDataFrame(rows, SCHEMA), share=0.001, k=8, rounds=2, at_least=1).collect()
