@@ -63,3 +63,28 @@ def test_all_blocks_are_zipped(spark):
     other = blocks(("a", 11.0, 20.0), ("a", 498.0, 521.0), ("b", 5.0, 9.0))
     got = {tuple(r) for r in evaluate.zipped_or_counts(truth, other).collect()}
     assert got == {("a", 1, -1.0, 0.0, 2, 2), ("a", 2, 2.0, -1.0, 2, 2), ("b", 0, None, None, 2, 1), ("c", 0, None, None, 1, 0)}
+
+
+def test_means_have_the_sqls_last_bits(spark, tmp_path):
+    """Recordings 3 and 6 are in one hash group; a mean near the threshold depends on the order of addition."""
+    from framewright.plans import views
+
+    c = duckdb.connect()
+    c.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + i * INTERVAL 1 SECOND AS ts, (i * 7919) % 8 + CASE WHEN i % 11 = 0 THEN 8 ELSE 0 END AS user_id, 'view' AS event_type,
+     CASE WHEN i % 97 = 0 THEN NULL ELSE ((i * 7907) % 8600) / 100.0 END::DOUBLE AS value FROM range(10005) t(i) WHERE i % 13 <> 5) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = {r[:2]: r[2] for r in c.sql(views.sql(views.FRAMES, views.BLOCKS, select="SELECT rid, idx, s FROM sm")).fetchall()}
+    got = {(r.rid, r.idx): r.s for r in views.present(spark, str(tmp_path)).select("rid", "idx", "s").collect()}
+    assert len({rid for rid, _ in got}) == 8
+    assert got == want
+
+
+@pytest.mark.parametrize("half", [0, 3, 8, 40])
+def test_rolling_mean_of_other_widths(spark, half):
+    from framewright.operators.temporal import rolling_mean
+
+    xs = [None if i % 10 == 3 or 200 < i < 220 else (i * 7907 % 8600) / 100 for i in range(500)]
+    got = {r.idx: r.s for r in rolling_mean(spark.createDataFrame([("a", i, x) for i, x in enumerate(xs)], "rid string, idx bigint, x double"), "x", half, "s").collect()}
+    for i in range(500):
+        own = [x for x in xs[max(i - half, 0) : i + half + 1] if x is not None]
+        assert got[i] == (pytest.approx(sum(own) / len(own), rel=1e-12) if own else None)
