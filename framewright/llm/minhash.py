@@ -1,13 +1,16 @@
-"""Near-duplicates by word shingles: MinHash candidates, each then checked by its exact Jaccard similarity.
+"""Near-duplicates by word shingles: SimHash and MinHash candidates, each then checked by its exact Jaccard similarity.
 
 A document is the set of its ``SHINGLE``-word shingles (lower-case A-Z, words parted by ASCII white space; a shorter
 text: its whole word sequence; none: the empty set).  Two documents link where their sets have a Jaccard similarity of
 ``SIMILARITY`` or more, and of a linked component one document is kept.
 
-Equal sets are one row.  Each set has ``BANDS`` keys of ``ROWS`` minima; sets that share a key are candidates, which two
-sets of similarity s are with a probability of 1 - (1 - s ** ROWS) ** BANDS (0.9999 at 0.8, more above).  SimHash would
-need some 17 of 64 bits for that, and blocks of 3 bits part nothing.  Equal keys lie side by side in the sorted
-rows of a partition, so neighbours are linked and no group is held or paired.
+Equal sets are one row.  Sets whose SimHash fingerprints differ in ``simhash.BUDGET`` bits or fewer are candidates, all of
+them: the fingerprints go through the binary trie's self-join.  A fingerprint's bits are the majority of the hashes in the set.
+
+Two sets of similarity 0.8 may differ in some 17 of 64 bits, where a trie walk prunes next to nothing, so MinHash finds
+those beyond the budget.  Each set has ``BANDS`` keys of ``ROWS`` minima; sets that share a key are candidates too, which
+two sets of similarity s are with a probability of 1 - (1 - s ** ROWS) ** BANDS (0.9999 at 0.8, more above).  Equal keys
+lie side by side in the sorted rows of a partition, so neighbours are linked and no group is held or paired.
 
 The candidates' components (clusters) hold every candidate pair.  A cluster's texts meet in one task, where each pair
 that is not joined already is compared exactly, so a dense cluster of n near copies takes about n comparisons.
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import key_of, partitions, stored, utf8
-from framewright.llm.simhash import components, first_rows, spanning
+from framewright.llm.simhash import components, first_rows, links, majority, spanning
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -67,14 +70,16 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, keys = [], []
+        digests, fps, keys = [], [], []
         for t in batch.column("text"):
             own = shingles(t.as_py())
             digests.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+            fps.append(majority(own))
             keys.append(band_keys(own))
         offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(np.array(digests, np.uint64).view(np.int64)), listed], names=["doc_id", "h", "digest", "keys"])
+        digest, fp = (pa.array(np.array(v, np.uint64).view(np.int64)) for v in (digests, fps))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), digest, fp, listed], names=["doc_id", "h", "digest", "fp", "keys"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +161,30 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def trie_links(sets: DataFrame) -> DataFrame:
+    """(a, b): spanning links of the sets (digest, fp) whose fingerprints differ in simhash.BUDGET bits or fewer."""
+    # Of the sets with one fingerprint the first stands for it.
+    fps = stored(sets.groupBy("fp").agg(F.min("digest").alias("first")), "set-fingerprints")
+    first = lambda side: fps.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_first"))
+    near = links(fps.select("fp"), spanning_only=True).join(first("a"), "a").join(first("b"), "b").select("a_first", "b_first")
+    equal = sets.join(fps, "fp").where("digest <> first").select("first", "digest")
+    return near.union(equal).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def candidates(own: DataFrame) -> DataFrame:
+    """(a, b): links of digests that join all sets (digest, fp, keys) with near fingerprints or a key in common."""
+    keyed = own.dropDuplicates(["digest"]).select(F.explode("keys").alias("key"), "digest")
+    met = keyed.repartition(partitions(own.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_neighbours, "a bigint, b bigint")
+    # The empty set has no keys; it is near no other.
+    return met.unionByName(trie_links(own.where(F.size("keys") > 0).select("digest", "fp").distinct())).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, h, root): one row a document; h is its text's hash, root the smallest digest of its component."""
     n = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    own = stored(texts.mapInArrow(_signed, "doc_id bigint, h bigint, digest bigint, keys array<bigint>"), "minhash")
-    keyed = own.dropDuplicates(["digest"]).select(F.explode("keys").alias("key"), "digest")
-    links = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_neighbours, "a bigint, b bigint").distinct()
-    clusters = stored(components(links).select(F.col("node"), F.col("root").alias("cluster")), "clusters")
+    own = stored(texts.mapInArrow(_signed, "doc_id bigint, h bigint, digest bigint, fp bigint, keys array<bigint>"), "minhash")
+    clusters = stored(components(candidates(own)).select(F.col("node"), F.col("root").alias("cluster")), "clusters")
     # The root itself is no node of its own.
     clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster")).distinct()
     me = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))

@@ -61,6 +61,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(ws) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(ws) - shingle + 1)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits of which each is 1 where more than half of the unsigned hashes have it."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):  # so that the unpacked bits stay in cache
         part = hashes[i : i + 8192]

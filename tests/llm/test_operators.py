@@ -527,6 +527,28 @@ def test_pipeline_near_duplicates(spark, prose):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(root))
 
 
+def test_pipeline_candidates_come_from_the_trie_too(spark):
+    """Sets are candidates by fingerprints within 2 bits, without a MinHash key in common, or by a key alone."""
+    from framewright.llm import minhash
+
+    far = lambda n: (0x0123456789ABCDEF * (2 * n + 1)) % 2**63
+    rows = [(1, far(1), [1]), (2, far(1) ^ 0b101, [2]), (3, far(1), [3]), (4, far(1) ^ 0b111 << 20, [4]), (5, far(2), [5]), (6, far(3), [5]), (7, far(1) ^ 1 << 30, []), (5, far(2), [5])]
+    own = spark.createDataFrame(rows, "digest bigint, fp bigint, keys array<bigint>")
+    root = {d: d for d in range(1, 8)}
+    for r in minhash.candidates(own).collect():
+        a, b = root[r.a], root[r.b]
+        root = {d: min(a, b) if x in (a, b) else x for d, x in root.items()}
+    assert root == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
+
+
+def test_fingerprints_of_sets():
+    from framewright.llm import minhash
+
+    text = "a b c d e f g A b c d e x y"
+    hashes = [xxhash.xxh64_intdigest(" ".join(g).encode(), 42) for g in grams_by_hand(text)]
+    assert simhash.majority(minhash.shingles(text)) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 # ---- 8
 
 
