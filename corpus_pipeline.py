@@ -36,7 +36,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of documents linked at 5-word Jaccard 0.8 the one with the smallest doc_id."""
+    """Keeps of each component of documents linked at 5-word Jaccard 0.8 the one with the smallest doc_id.
+
+    Candidates come from the SimHash trie and, beyond its budget, from MinHash.
+    """
     return minhash.representatives(docs).select(*COLUMNS)
 
 
