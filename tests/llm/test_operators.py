@@ -661,6 +661,28 @@ def test_contamination_edges(spark, awkward, nothing):
     assert decontaminate.contamination(nothing, none).count() == 0
 
 
+def test_contamination_writes_few_files(spark, prose, tmp_path, monkeypatch):
+    """A file is two processes forked from an executor's JVM on a local file system, so a partition need not be a file."""
+    texts = [prose(80) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = [(k, " ".join(x.split()[k % 50 : k % 50 + 20])) for k, x in enumerate(texts)]
+    monkeypatch.setattr("framewright.work.shared_dir", lambda _: f"file://{tmp_path}")
+    now = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in now}
+    try:
+        for k, v in now.items():
+            spark.conf.set(k, v)
+        out = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out)
+    assert got == contamination_by_hand(list(enumerate(texts)), items)
+    files = Counter(p.parent.name.rsplit("-", 1)[0] for p in tmp_path.glob("*/part-*"))
+    assert set(files) == {"benchmark-windows", "scanned", "marked"}
+    assert max(files["benchmark-windows"], files["marked"]) <= max(decontaminate.FILES, spark.sparkContext.defaultParallelism)
+
+
 # ---- all
 
 
